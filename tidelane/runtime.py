@@ -44,26 +44,36 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = 0.002) -> DataFrame:
-    """Keys that hold more than `share` of all rows, with __salts, the number of pieces to split each into.
+#: Share of all rows, and least number of rows, from which on a key counts as hot.
+HOT_SHARE, HOT_ROWS = 0.002, 100_000
 
-    At most 1/share keys can qualify, so the result may be broadcast whatever the input.
+
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame | None:
+    """(keys, __salts): keys with more than `share` of the rows, and into how many pieces to split each; None without any.
+
+    At most 1/share keys can qualify, so the list may be collected and broadcast whatever the input.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__all"))
-    return (
-        counts.join(F.broadcast(total), F.col("__n") > F.greatest(F.col("__all") * share, F.lit(10_000.0)))
-        .select(*keys, F.ceil(F.col("__n") / F.greatest(F.col("__all") * share, F.lit(10_000.0))).cast("int").alias("__salts"))
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least)
+    few = counts.orderBy(F.desc("__n")).limit(round(1 / share)).collect()
+    if not few:
+        return None
+    floor = max(least, share * df.count())
+    rows = [(*r[:-1], -(-r["__n"] // int(floor))) for r in few if r["__n"] > floor]
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "__salts int"])
+    return df.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_by: Column, how: str = "inner", share: float = 0.002) -> DataFrame:
-    """Equi-join whose left side may hold hot keys; right must be unique (or small) per key.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_by: Column, how: str = "inner", hot: DataFrame | None | bool = True) -> DataFrame:
+    """Equi-join whose left side may hold hot keys; the right side has few rows for each key.
 
-    Hot keys of the left are found by count, their rows spread over __salts pieces by a hash of salt_by,
-    and the matching right rows are repeated once per piece.
+    The rows of a hot key are spread over __salts pieces by a hash of salt_by, and the matching right rows are repeated
+    once per piece. hot: as hot_keys() gives it, or True to count here.
     """
-    hot = F.broadcast(hot_keys(left, keys, share))
+    if hot is True:
+        hot = hot_keys(left, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
     salted = left.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
     spread = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")

@@ -51,15 +51,13 @@ def stops_and_trips(
         F.col(device).cast("string").alias("device"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")
     ).where(F.col("device").isNotNull() & F.col("t").isNotNull() & possible_position(F.col("lat"), F.col("lon")))
     # at most rows / hot_rows devices qualify
-    hot = (
-        points.groupBy("device").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-        .join(points, "device").groupBy("device", "n")
-        .agg(F.percentile_approx("t", F.lit([k / 64 for k in range(1, 64)]), F.lit(1000)).alias("cuts"))
-    )
-    hot_list = [(r.device, sorted({r.cuts[round(i)] for i in np.linspace(0, 62, min(63, math.ceil(2 * r.n / hot_rows)))})) for r in hot.toLocalIterator()]
-    if not hot_list:
+    hot = [r.device for r in points.groupBy("device").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("device").collect()]
+    if not hot:
         ordered = points.repartition("device").sortWithinPartitions("device", "t", "lat", "lon")
         return ordered.mapInArrow(lambda it: _tracks(it, rules, False), RESULT)
+    busy = F.broadcast(pings.sparkSession.createDataFrame([(h,) for h in hot], "device string"))
+    ranks = points.join(busy, "device").groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("t", F.lit([k / 64 for k in range(1, 64)]), F.lit(1000)).alias("cuts"))
+    hot_list = [(r.device, sorted({r.cuts[round(i)] for i in np.linspace(0, 62, min(63, math.ceil(2 * r.n / hot_rows)))})) for r in ranks.collect()]
     cuts = pings.sparkSession.createDataFrame(hot_list, "device string, cuts array<bigint>")
     sliced = points.join(F.broadcast(cuts), "device", "left").withColumn("slice", F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("t"))))).drop("cuts")
     cold = sliced.where("slice < 0").drop("slice").repartition("device").sortWithinPartitions("device", "t", "lat", "lon").mapInArrow(lambda it: _tracks(it, rules, False), RESULT)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions.geo import haversine_m, possible_position
 from tidelane.llm.asof import nearest_in_time
 from tidelane.llm.components import connected_components
+from tidelane.llm.mixing import allocation, mixture, shares, token_counts
+from tidelane.llm.quantiles import percentiles, summaries
+from tidelane.llm.spans import shared_spans
+from tidelane.llm.survivors import claims_of, judged_values, survivors
 from tidelane.llm.topn import top_n
-from tidelane.runtime import read_table
+from tidelane.runtime import read_table, written
 
 INFRA = "infrastructure_repeat_cat_6m_v20220805"
 
@@ -30,6 +34,43 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(infra_pairs(spark, d), "a", "b").select(F.col("vertex").alias("detect_id"), F.col("component").alias("group_id"))
 
 
+#: Codes for "not available".
+NO_SPEED, NO_COURSE = 102.3, 360.0
+
+
+def _extrapolation_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    df = read_table(spark, d, "detect_foot_ext_doppler")
+
+    def filled(name: str) -> Column:
+        c = F.col(name)
+        known = ~F.isnan(c)
+        if name.startswith("speed"):
+            known &= c < NO_SPEED
+        if name.startswith("course"):
+            known &= c < NO_COURSE
+        return F.when(known, c)
+
+    keys = {"ssvid": F.nullif(F.trim("ssvid"), F.lit("")), "scene_id": F.nullif(F.upper(F.trim("scene_id")), F.lit("")), "source": F.nullif(F.upper(F.trim("source")), F.lit(""))}
+    late = F.log2(1 + F.greatest(F.lit(0.0), (F.unix_micros("loaded_at") - F.unix_micros("extrap_timestamp")) / 3.6e9))
+    witness = F.concat_ws("/", F.upper(F.trim("source")), F.coalesce(F.least(F.floor(late), F.lit(10)).cast("string"), F.lit("-")))
+    fields = {f: filled(f) for f in ("delta_minutes1", "speed1", "course1", "delta_minutes2", "speed2", "course2")}
+    return claims_of(df, keys, "ext_id", "loaded_at", witness, fields)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The rule asks for the newest filled value, so recency outweighs the witnesses' evidence."""
+    claims, groups = _extrapolation_claims(spark, d)
+    values, _ = judged_values(claims, newest_bonus=100.0)
+    return survivors(values).join(groups, "gid").select("ssvid", "scene_id", "source", F.col("field").alias("field_name"), F.col("row_id").alias("ext_id"))
+
+
+def p4_trusted(spark: SparkSession, d: str) -> DataFrame:
+    """Every value judged true on the witnesses' evidence alone."""
+    claims, groups = _extrapolation_claims(spark, d)
+    values, _ = judged_values(claims)
+    return values.where("p >= 0.5").join(groups, "gid").select("ssvid", "scene_id", "source", F.col("field").alias("field_name"), "value", F.col("row_id").alias("ext_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(read_table(spark, d, "score_mult"), "scene_id", ["detect_id", "ssvid"], "score", 5).select("scene_id", "ssvid", "detect_id")
 
@@ -49,6 +90,62 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest_in_time(_detections(spark, d), _extrapolations(spark, d), 600.0).select(F.col("left_id").alias("detect_id"), F.col("right_id").alias("ext_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p6_found)}
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    """(midpoint, iso3, metric, v), each id once, in its latest version; values out of range left out."""
+    rows = read_table(spark, d, INFRA).where("id is not null")
+    latest = rows.groupBy("id").agg(F.max(F.struct("loaded_at", "midpoint", F.get("iso_ter1", F.lit(0)).alias("first"), "length_m", "presence")).alias("r")).select("r.*")
+    iso3 = F.coalesce(F.nullif(F.trim("first"), F.lit("")), F.lit("None"))
+    both = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(F.col(m).between(a, b), F.col(m)).alias("v")) for m, a, b in (("length_m", 1.0, 600.0), ("presence", 0.0, 1.0))]))
+    return latest.where("midpoint is not null").select(F.date_format("midpoint", "yyyy-MM-dd").alias("midpoint"), iso3.alias("iso3"), both).where("v is not null")
+
+
+def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    groups = ["midpoint", "iso3", "metric"]
+    return percentiles(summaries(_measures(spark, d), groups, "v"), groups, [0.1, 0.5, 0.9, 0.99]).toDF(*groups, "n", "p10", "p50", "p90", "p99")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    big = p7_percentiles(spark, d).where("n >= 20")
+    return big.where("(metric = 'length_m' and p50 >= 120) or (metric = 'presence' and p90 < 0.7)").select("midpoint", "iso3", "metric")
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _tokens(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return written(token_counts(read_table(spark, d, "documents"), "doc_id", "source", "text", vocabulary), "tokens")[0]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return allocation(_tokens(spark, d), read_table(spark, d, "mix_targets")).where("not reachable").select(F.col("name").alias("source"))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(_tokens(spark, d), read_table(spark, d, "mix_targets"), weight=F.log1p("tokens"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(*_mixed(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = shared_spans(read_table(spark, d, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("start").cast("bigint").alias("span_start"), F.col("end").cast("bigint").alias("span_end"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document also stands elsewhere; documents without a shared stretch have zero."""
+    found = shared_spans(read_table(spark, d, "documents"), "doc_id", "text")
+    per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("end") - F.col("start")).cast("bigint").alias("shared_chars"))
+    docs = read_table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"))
+    out = docs.join(per, "doc_id", "left").fillna(0, ["spans", "shared_chars"])
+    return out.withColumn("share", F.round(F.coalesce(F.try_divide("shared_chars", "chars"), F.lit(0.0)), 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_trusted, p5_found, p6_found, p7_found, p7_percentiles, p9_found, p9_mixture, p9_shares, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {}

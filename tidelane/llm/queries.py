@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelane.functions.geo import haversine_m, possible_position
 from tidelane.llm.asof import nearest_in_time
 from tidelane.llm.components import connected_components
+from tidelane.llm.leakage import leaks, paraphrases
 from tidelane.llm.mixing import allocation, mixture, shares, token_counts
 from tidelane.llm.quantiles import percentiles, summaries
 from tidelane.llm.spans import shared_spans
@@ -109,6 +110,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return big.where("(metric = 'length_m' and p50 >= 120) or (metric = 'presence' and p90 < 0.7)").select("midpoint", "iso3", "metric")
 
 
+def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), read_table(spark, d, "eval_items").select(F.col("item_id").alias("item"), "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(*_texts(spark, d)).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each item that leaks: in how many documents, and its longest stretch in words."""
+    return leaks(*_texts(spark, d)).groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("docs"), F.max("words").alias("longest"))
+
+
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return paraphrases(*_texts(spark, d)).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "common", "answers")
+
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -146,6 +164,6 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("share", F.round(F.coalesce(F.try_divide("shared_chars", "chars"), F.lit(0.0)), 6))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_trusted, p5_found, p6_found, p7_found, p7_percentiles, p9_found, p9_mixture, p9_shares, p10_found, p10_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_trusted, p5_found, p6_found, p7_found, p7_percentiles, p8_found, p8_items, p8_paraphrases, p9_found, p9_mixture, p9_shares, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {}

@@ -71,14 +71,41 @@ def planar_course_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) ->
     return F.pmod(F.degrees(F.atan2((lon2 - lon1) * F.cos(F.radians(lat1)), lat2 - lat1)), F.lit(360.0))
 
 
+#: The radii in km along and across the axis that satellite speeds are computed with.
+RADIUS_EQUATOR_KM, RADIUS_POLE_KM = 6371.001, 6356.752
+
+
 def earth_radius_km(lat: Column) -> Column:
-    """Radius of the WGS84 ellipsoid at a latitude."""
-    a, b = 6378.137, 6356.7523
+    """Radius of the ellipsoid at a latitude."""
+    a, b = RADIUS_EQUATOR_KM, RADIUS_POLE_KM
     c, s = F.cos(F.radians(lat)), F.sin(F.radians(lat))
     top = F.pow(a * a * c, 2) + F.pow(b * b * s, 2)
     return F.sqrt(top / (F.pow(a * c, 2) + F.pow(b * s, 2)))
 
 
+def segment_distance_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance from a point to the segment 1-2 on a plane around the point."""
+    k = math.radians(1) * EARTH_RADIUS_M
+    shrink = F.cos(F.radians(lat))
+    x1, y1, x2, y2 = (lon1 - lon) * k * shrink, (lat1 - lat) * k, (lon2 - lon) * k * shrink, (lat2 - lat) * k
+    dx, dy = x2 - x1, y2 - y1
+    along = F.coalesce(F.try_divide(-(x1 * dx + y1 * dy), dx * dx + dy * dy), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return F.sqrt(F.pow(x1 + t * dx, 2) + F.pow(y1 + t * dy, 2))
+
+
+def mean_lon(lon1: Column, lon2: Column, w1: Column, w2: Column) -> Column:
+    """Weighted mean of two longitudes the short way round, in [-180, 180]."""
+    far = F.abs(lon1 - lon2) > 180
+    a, b = F.when(far & (lon1 < 0), lon1 + 360).otherwise(lon1), F.when(far & (lon2 < 0), lon2 + 360).otherwise(lon2)
+    return near_lon(F.try_divide(a * w1 + b * w2, w1 + w2))
+
+
+def near_lon(lon: Column) -> Column:
+    """Longitude brought back by one turn where it is past +-180."""
+    return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
+
+
 def cell_area_km2(lat: Column, n: int, degree_km: float = 111.0) -> Column:
     """Area of a cell of 1/n degree at a latitude."""
     return F.lit(degree_km * degree_km / (n * n)) * F.cos(F.radians(lat))

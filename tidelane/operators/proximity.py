@@ -71,14 +71,14 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return met.withColumn("distance_m", d).where(F.col("distance_m") < radius_m).select(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"), "distance_m")
 
 
-def distance_join(left: DataFrame, right: DataFrame, radius_m: float, inclusive: bool = True) -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, radius_m: float, inclusive: bool = True, on: tuple[str, ...] = ()) -> DataFrame:
     """All columns of left and right (prefixed r_ where the names clash) plus distance_m, for rows within radius_m.
 
     Both sides have lat, lon (possible positions, longitudes in [-180, 180)). The right side, which should be the
-    smaller, is sent to the neighbouring cells.
+    smaller, is sent to the neighbouring cells. Both sides must also agree in the columns `on`.
     """
     rows, angle = cell_rows(radius_m) * 1.01, radius_m / EARTH_RADIUS_M * 1.0001
-    right = right.select(*[F.col(c).alias(f"r_{c}" if c in left.columns else c) for c in right.columns])
+    right = right.select(*[F.col(c).alias(f"r_{c}" if c in left.columns and c not in on else c) for c in right.columns])
     a = with_cell(left, radius_m)
     rlat, rlon = (F.col("r_lat"), F.col("r_lon"))
     home = F.floor(rlat / rows).cast("bigint")
@@ -89,5 +89,5 @@ def distance_join(left: DataFrame, right: DataFrame, radius_m: float, inclusive:
     cells = F.flatten(F.array(in_band(-1), in_band(0), in_band(1)))
     b = right.withColumn("__at", F.explode(F.array_distinct(cells))).select("*", "__at.band", "__at.cell").drop("__at")
     d = haversine_m(F.col("lat"), F.col("lon"), rlat, rlon)
-    met = a.join(b, ["band", "cell"]).drop("band", "cell").withColumn("distance_m", d)
+    met = a.join(b, ["band", "cell", *on]).drop("band", "cell").withColumn("distance_m", d)
     return met.where(F.col("distance_m") <= radius_m if inclusive else F.col("distance_m") < radius_m)

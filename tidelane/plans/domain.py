@@ -115,6 +115,31 @@ FOOT = """foot as (
   where start_time is not null and end_time > start_time and lon1 - lon0 < 20)"""
 
 
+def sight(spark: SparkSession, d: str) -> DataFrame:
+    """Detections that follow a segment's first ping of each day after seven minutes, a little off its place."""
+    first = ping(spark, d).groupBy("seg_id", F.to_date("ts").alias("day")).agg(F.min(F.struct("ts", "lat", "lon")).alias("v")).select("seg_id", "day", "v.*")
+    cell = F.concat(F.lit("T"), F.date_format("day", "yyyyMMdd"), F.lit("_"), F.floor(F.col("lat") / 5).cast("bigint").cast("string"), F.lit("_"), F.floor(F.col("lon") / 5).cast("bigint").cast("string"))
+    return first.select(F.concat("seg_id", F.lit("/"), F.date_format("day", "yyyyMMdd")).alias("detect_id"), cell.alias("scene_id"), (F.col("ts") + F.expr("interval 7 minutes")).alias("ts"), (F.col("lat") + 0.012).alias("lat"), (F.col("lon") - 0.008).alias("lon"))
+
+
+SIGHT = """det as (
+  select seg_id || '/' || strftime(day, '%Y%m%d') as detect_id, 'T' || strftime(day, '%Y%m%d') || '_' || cast(cast(floor(lat / 5) as bigint) as varchar) || '_' || cast(cast(floor(lon / 5) as bigint) as varchar) as scene_id,
+         ts + interval 7 minutes as ts, lat + 0.012::double as lat, lon - 0.008::double as lon
+  from (select *, cast(ts as date) as day, row_number() over (partition by seg_id, cast(ts as date) order by ts) as k from ping) where k = 1)"""
+
+
+def sight_foot(spark: SparkSession, d: str) -> DataFrame:
+    """The scenes of sight(), 25 seconds each, with a straight satellite track beside them."""
+    g = sight(spark, d).groupBy("scene_id").agg((F.min("lat") - 0.2).alias("lat0"), (F.max("lat") + 0.2).alias("lat1"), (F.min("lon") - 0.2).alias("lon0"), (F.max("lon") + 0.2).alias("lon1"), F.min("ts").alias("start_time"))
+    g = g.withColumn("end_time", F.col("start_time") + F.expr("interval 25 seconds"))
+    return g.select("*", (F.col("lat0") - 0.1).alias("sat_lat0"), (F.col("lon1") + 4.0).alias("sat_lon0"), (F.col("lat0") + 1.4).alias("sat_lat1"), (F.col("lon1") + 3.7).alias("sat_lon1"), F.lit(700000.0).alias("altitude_m"))
+
+
+SIGHT_FOOT = """foot as (
+  select *, start_time + interval 25 seconds as end_time, lat0 - 0.1::double as sat_lat0, lon1 + 4.0::double as sat_lon0, lat0 + 1.4::double as sat_lat1, lon1 + 3.7::double as sat_lon1, 700000.0::double as altitude_m
+  from (select scene_id, min(lat) - 0.2::double as lat0, max(lat) + 0.2::double as lat1, min(lon) - 0.2::double as lon0, max(lon) + 0.2::double as lon1, min(ts) as start_time from det group by 1))"""
+
+
 def infra(spark: SparkSession, d: str) -> DataFrame:
     """Each structure once, in its latest version, with class scores by integer functions of its id."""
     rows = read_table(spark, d, INFRA).where(F.col("id").isNotNull() & possible_position(F.col("detect_lat"), F.col("detect_lon"), 360.0))

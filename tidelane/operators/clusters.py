@@ -10,27 +10,33 @@ from tidelane.operators.proximity import distance_join, near_pairs
 from tidelane.runtime import discard, written
 
 
-def labelled(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def labelled(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, label): the smallest id of each vertex's component. edges: id_a, id_b.
 
-    Each round a vertex takes the smallest label among its neighbours, then the label of its label; the latter halves
-    chains, so rounds grow with the logarithm of their length. Rounds are written.
+    Rounds of contraction: a vertex joins the first of itself and its neighbours in an order that changes with the
+    round, edges move to the survivors, loops go. Long chains thus take a logarithmic number of rounds.
     """
-    both = edges.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).union(edges.select("id_b", "id_a")).distinct()
-    both, edge_path = written(both, "edges")
-    labels, path = written(both.groupBy("id").agg(F.min("other").alias("label")).select("id", F.least("id", "label").alias("label")), "labels")
-    for _ in range(max_rounds):
-        seen = both.join(labels.toDF("other", "theirs"), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
-        one = labels.join(seen, "id").select("id", F.least("label", "theirs").alias("new"), F.col("label").alias("old"))
-        jump = one.join(one.select(F.col("id").alias("new"), F.col("new").alias("next")), "new", "left")
-        new, new_path = written(jump.select("id", F.coalesce("next", "new").alias("label"), "old"), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        discard(both.sparkSession, path)
-        labels, path = new.select("id", "label"), new_path
-        if not changed:
+    spark = edges.sparkSession
+    left, path = written(edges.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a < b").distinct(), "edges")
+    steps: list[DataFrame] = []
+    for r in range(max_rounds):
+        order = lambda c: F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        ends = left.union(left.select("b", "a"))
+        first = ends.groupBy(F.col("a").alias("id")).agg(F.min(order("b")).alias("n"))
+        step, _ = written(first.select("id", F.least(order("id"), F.col("n"))["v"].alias("to")), "step")
+        steps.append(step)
+        moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        new, new_path = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(spark, path)
+        left, path = new, new_path
+        if left.isEmpty():
             break
-    discard(both.sparkSession, edge_path)
-    return labels
+    discard(spark, path)
+    end = steps[-1]
+    for step in steps[-2::-1]:
+        end = step.join(end.toDF("to", "top"), "to", "left").select("id", F.coalesce("top", "to").alias("to"))
+    low = end.groupBy("to").agg(F.min("id").alias("low"))
+    return end.join(low, "to").select("id", F.least("low", "to").alias("label"))
 
 
 def dbscan(points: DataFrame, eps_m: float, min_pts: int = 1) -> DataFrame:

@@ -108,17 +108,17 @@ def d17_hub_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(D.with_sql(D.DET, D.OVERPASS, REPEATS, QUALITY, HUB, KEPT) + "select detect_id from kept")
-def p3_hub_quality_filter(spark: SparkSession, d: str) -> DataFrame:
+def sel_p3_hub_quality_filter(spark: SparkSession, d: str) -> DataFrame:
     return H.quality_filter(_hub(spark, d)).select("detect_id")
 
 
 @query(D.with_sql(D.DET) + f"select detect_id from det where {ice_sql()}")
-def p4_free_of_ice(spark: SparkSession, d: str) -> DataFrame:
+def sel_p4_free_of_ice(spark: SparkSession, d: str) -> DataFrame:
     return D.det(spark, d).where(boxes.free_of_ice(F.col("lon"), F.col("lat"))).select("detect_id")
 
 
 @query(D.with_sql(D.INFRA_SQL) + "select id from infra where " + " and ".join(f"not (lat between {s} and {n} and lon between {w} and {e})" for w, s, e, n in boxes.MESSY_BOXES))
-def p5_free_of_mess(spark: SparkSession, d: str) -> DataFrame:
+def sel_p5_free_of_mess(spark: SparkSession, d: str) -> DataFrame:
     return D.infra(spark, d).where(boxes.free_of_mess(F.col("lon"), F.col("lat"))).select("id")
 
 

@@ -148,12 +148,12 @@ def ar1_unnest(spark: SparkSession, d: str) -> DataFrame:
     return D.infra(spark, d).select("id", F.explode("by_angle").alias("a")).where("a is not null").select("id", "a.*")
 
 
-@query(D.with_sql(D.INFRA_SQL) + "select iso3, list(id order by id) as ids, list(coalesce(len(by_angle), 0) order by id) as angles from infra group by 1")
+@query(D.with_sql(D.INFRA_SQL) + "select iso3, array_to_string(list(id order by id), ',') as ids, array_to_string(list(coalesce(len(by_angle), 0) order by id), ',') as angles from infra group by 1")
 def a7_array_agg(spark: SparkSession, d: str) -> DataFrame:
     """Arrays in a fixed order. Groups are countries; for output of unbounded groups write rows instead."""
     n = F.coalesce(F.when(F.col("by_angle").isNotNull(), F.size("by_angle")), F.lit(0)).cast("bigint")
     rows = F.array_sort(F.collect_list(F.struct("id", n.alias("a"))))
-    return D.infra(spark, d).groupBy("iso3").agg(rows.alias("r")).select("iso3", F.col("r.id").alias("ids"), F.col("r.a").alias("angles"))
+    return D.infra(spark, d).groupBy("iso3").agg(rows.alias("r")).select("iso3", F.array_join(F.col("r.id").cast("array<string>"), ",").alias("ids"), F.array_join(F.col("r.a").cast("array<string>"), ",").alias("angles"))
 
 
 @query(D.with_sql(D.INFRA_SQL) + "select iso3, month, round(median(length_m), 6) as median_m, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (partition by month), 4) as pct from (select iso3, midpoint as month, length_m from infra where length_m is not null and not isnan(length_m) and midpoint is not null) group by iso3, month")

@@ -211,7 +211,7 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(D.with_sql(D.VESSEL, f"named as (select *, {NAME_SQL} as shipname from (select *, try_cast(ssvid as bigint) as n from vessel))") + "select ssvid, shipname from named where not (best_class = 'gear' or " + " or ".join(f"regexp_matches(shipname, '{g}')" for g in GEAR) + ")")
-def p6_without_gear(spark: SparkSession, d: str) -> DataFrame:
+def sel_p6_without_gear(spark: SparkSession, d: str) -> DataFrame:
     v = _named(spark, d)
     gear = F.col("best_class") == "gear"
     for g in GEAR:

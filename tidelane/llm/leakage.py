@@ -23,11 +23,11 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ ROWS = 512
 ANCHOR = 7
 BLOCK = 10_000
 #: Word positions handled at once.
-SPAN = 20_000
+SPAN = 8_000
 _CUT = re.compile(r"[\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,15 +47,17 @@ def word_codes(text: str, kept: dict[str, int]) -> np.ndarray:
     """63-bit codes of a text's words; kept caches them by raw word."""
     if len(kept) > 500_000:
         kept.clear()
-    out = []
-    for raw in text.split():
-        code = kept.get(raw)
-        if code is None:
-            word = _CUT.sub("", raw.casefold())
-            code = kept[raw] = 1 + (int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 2) if word else 0
-        if code:
-            out.append(code)
-    return np.array(out, np.int64)
+    raws = text.split()
+    out = list(map(kept.get, raws))
+    if None in out:
+        for k, code in enumerate(out):
+            if code is None:
+                word = raws[k].casefold()
+                if not word.isalnum():
+                    word = _CUT.sub("", word)
+                out[k] = kept[raws[k]] = 1 + (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2) if word else 0
+    codes = np.array(out, np.int64)
+    return codes[codes != 0]
 
 
 class Passages:
@@ -89,7 +91,7 @@ class Passages:
     def project(self, i: int, j: int, table: np.ndarray) -> np.ndarray:
         """Sums of the table's rows over the words of windows i to j."""
         a, b = self.first[i], self.last[j - 1]
-        cum = np.zeros((b - a + 1, table.shape[1]))
+        cum = np.zeros((b - a + 1, table.shape[1]), np.float32)
         np.cumsum(table[self.all[a:b] % FEATURES], axis=0, out=cum[1:])
         return cum[self.last[i:j] - a] - cum[self.first[i:j] - a]
 
@@ -132,7 +134,7 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int, window: int, strid
                 for i, j in p.pieces():
                     z = p.project(i, j, table)
                     a, b = p.first[i], p.last[j - 1]
-                    d = np.zeros((b - a + 1, rank))
+                    d = np.zeros((b - a + 1, rank), np.float32)
                     d[p.first[i:j] - a] += z
                     d[p.last[i:j] - a] -= z  # no two windows end, or start, at one place
                     at = np.cumsum(d, axis=0)[:-1]
@@ -195,18 +197,25 @@ class ItemIndex:
         self.heads = np.searchsorted(p.owner, np.arange(len(ids)))
         self.some = np.flatnonzero(np.diff(np.append(self.heads, len(p.owner))))
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, shift) of the alignments of a text that share three anchors or more."""
-        g = _grams(codes)
-        lo, hi = np.searchsorted(self.hash, g), np.searchsorted(self.hash, g, side="right")
+    def hits(self, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, shift), in order of text, of the alignments that share three anchors or more."""
+        g = _grams(p.all)
+        text = np.searchsorted(p.offset, np.arange(len(g)), side="right") - 1
+        whole = np.arange(len(g)) + ANCHOR <= p.offset[text + 1]
+        at = np.flatnonzero(whole)
+        lo, hi = np.searchsorted(self.hash, g[at]), np.searchsorted(self.hash, g[at], side="right")
         n = hi - lo
-        if not n.any():
-            return np.empty(0, int), np.empty(0, int)
-        at = np.repeat(np.arange(len(g)), n)
-        k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.stack([self.item[k], at - self.place[k]])
-        pairs, count = np.unique(both, axis=1, return_counts=True)
-        return tuple(pairs[:, count >= 3])
+        some = n > 0
+        at, lo, n = at[some], lo[some], n[some]
+        k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, int)
+        at = np.repeat(at, n)
+        text, item = text[at], self.item[k]
+        shift = at - p.offset[text] - self.place[k]
+        order = np.lexsort((shift, item, text))
+        text, item, shift = text[order], item[order], shift[order]
+        head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])])) if len(order) else np.empty(0, int)
+        head = head[np.diff([*head, len(order)]) >= 3]
+        return text[head], item[head], shift[head]
 
 
 def longest_stretch(a: np.ndarray, b: np.ndarray, shift: int, min_words: int, exchanged: float) -> tuple[int, int]:
@@ -237,14 +246,14 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 32, stride: int = 16, rank: int = 64, least_cosine: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 32, stride: int = 16, rank: int = 48, least_cosine: float = 0.5) -> DataFrame:
     """(doc, item, words, first_word, cosine): documents that hold a stretch of an item. docs: doc, text; items: item, text."""
-    return _search(docs, items, window, stride, rank, least_cosine, lambda p, k, row, index, cos: _verbatim(p, k, row, index, cos, min_words, exchanged), "words bigint, first_word bigint, cosine double")
+    return _search(docs, items, window, stride, rank, least_cosine, _Verbatim(min_words, exchanged), "words bigint, first_word bigint, cosine double")
 
 
 def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 16, rank: int = 64, least_cosine: float = 0.9, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
     """(doc, item, common, answers, cosine): documents with a passage close to one of an item; common is the share of its words in the longest common subsequence, answers that of its words with digits."""
-    return _search(docs, items, window, stride, rank, least_cosine, lambda p, k, row, index, cos: _reworded(p, k, row, index, cos, least_common, least_answer), "common double, answers double, cosine double")
+    return _search(docs, items, window, stride, rank, least_cosine, _Reworded(least_common, least_answer), "common double, answers double, cosine double")
 
 
 def _search(docs, items, window, stride, rank, least_cosine, check, columns):
@@ -282,55 +291,74 @@ def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine,
         p = Passages([word_codes(t, kept) for t in batch["text"].to_pylist()], window, stride)
         rows: list[tuple] = []
         held: tuple[int, np.ndarray] | None = None
+        hits = check.hits(p, index) if hasattr(check, "hits") else None
         for i, j in p.pieces():
-            cos = _unit(p.project(i, j, table)) @ index.latent.T
-            best = np.maximum.reduceat(cos, index.heads[index.some], axis=1)
+            # items' passages along the first axis, so that the maximum by item runs over whole rows
+            cos = index.latent @ _unit(p.project(i, j, table)).T
+            best = np.maximum.reduceat(cos, index.heads[index.some], axis=0)
             owner = p.owner[i:j]
             head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            by_doc = np.maximum.reduceat(best, head, axis=0)
+            by_doc = np.maximum.reduceat(best, head, axis=1).T
             for n, k in enumerate(owner[head]):
                 if held is not None and held[0] == k:
                     held = (k, np.maximum(held[1], by_doc[n]))  # a long text goes on
                     continue
                 if held is not None:
-                    rows += [(ids[held[0]], *r) for r in check(p, held[0], held[1], index, least_cosine)]
+                    rows += [(ids[held[0]], *r) for r in check(p, *held, index, least_cosine, hits)]
                 held = (k, by_doc[n])
         if held is not None:
-            rows += [(ids[held[0]], *r) for r in check(p, held[0], held[1], index, least_cosine)]
+            rows += [(ids[held[0]], *r) for r in check(p, *held, index, least_cosine, hits)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
 
-def _verbatim(p, k, row, index, least_cosine, min_words, exchanged):
-    """Rows of one text; row has the best cosine with each item that has words."""
-    cosine = np.zeros(len(index.ids))
-    cosine[index.some] = row
-    best: dict[int, tuple[int, int]] = {}
-    words = p.words[k]
-    for item, shift in zip(*index.hits(words)):
-        if cosine[item] >= least_cosine:
-            found = longest_stretch(words, index.passages.words[item], int(shift), min_words, exchanged)
-            if found[0] > best.get(item, (0, 0))[0]:
-                best[int(item)] = found
-    return [(index.ids[i], n, at, float(cosine[i])) for i, (n, at) in best.items()]
-
-
-def _reworded(p, k, row, index, least_cosine, least_common, least_answer):
-    out = []
-    words, q = p.words[k], index.passages
-    for n in np.flatnonzero(row >= least_cosine):
-        item = int(index.some[n])
-        best = (0.0, 0.0)
-        for w in range(index.heads[item], index.heads[item + 1] if item + 1 < len(index.ids) else len(q.owner)):
-            passage = q.all[q.first[w] : q.last[w]]
-            here = np.isin(passage, words)
-            if here.mean() < least_common:
-                continue
-            known = np.isin(passage, index.answer)
-            answers = float(here[known].mean()) if known.any() else 1.0
-            common = common_subsequence(passage, words) / len(passage)
-            if common >= least_common and answers >= least_answer:
-                best = max(best, (common, answers))
-        if best[0]:
-            out.append((index.ids[item], round(best[0], 6), round(best[1], 6), float(row[n])))
-    return out
+class _Verbatim:
+    """Rows of one text for verbatim leaks; row has the best cosine with each item that has words."""
+
+    def __init__(self, min_words: int, exchanged: float):
+        self.min_words, self.exchanged = min_words, exchanged
+
+    def hits(self, p: Passages, index: ItemIndex):
+        return index.hits(p)
+
+    def __call__(self, p, k, row, index, least_cosine, hits):
+        text, item, shift = hits
+        a, b = np.searchsorted(text, [k, k + 1])
+        if a == b:
+            return []
+        cosine = np.zeros(len(index.ids))
+        cosine[index.some] = row
+        best: dict[int, tuple[int, int]] = {}
+        for i, sh in zip(item[a:b].tolist(), shift[a:b].tolist()):
+            if cosine[i] >= least_cosine:
+                found = longest_stretch(p.words[k], index.passages.words[i], sh, self.min_words, self.exchanged)
+                if found[0] > best.get(i, (0, 0))[0]:
+                    best[i] = found
+        return [(index.ids[i], n, at, float(cosine[i])) for i, (n, at) in best.items()]
+
+
+class _Reworded:
+    """Rows of one text for paraphrases."""
+
+    def __init__(self, least_common: float, least_answer: float):
+        self.least_common, self.least_answer = least_common, least_answer
+
+    def __call__(self, p, k, row, index, least_cosine, hits):
+        out = []
+        words, q = p.words[k], index.passages
+        for n in np.flatnonzero(row >= least_cosine):
+            item = int(index.some[n])
+            best = (0.0, 0.0)
+            for w in range(index.heads[item], index.heads[item + 1] if item + 1 < len(index.ids) else len(q.owner)):
+                passage = q.all[q.first[w] : q.last[w]]
+                here = np.isin(passage, words)
+                if here.mean() < self.least_common:
+                    continue
+                known = np.isin(passage, index.answer)
+                answers = float(here[known].mean()) if known.any() else 1.0
+                common = common_subsequence(passage, words) / len(passage)
+                if common >= self.least_common and answers >= self.least_answer:
+                    best = max(best, (common, answers))
+            if best[0]:
+                out.append((index.ids[item], round(best[0], 6), round(best[1], 6), float(row[n])))
+        return out

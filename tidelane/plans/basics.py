@@ -225,6 +225,13 @@ def ar5_array_element(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", F.coalesce(F.get("iso_ter1", F.lit(0)), F.lit("none")).alias("first"), n.alias("n"))
 
 
+@query("select x as min_lon, y as min_lat, x + 20 as max_lon, y + 20 as max_lat from (select unnest(range(-180, 180, 20)) as x), (select unnest(range(-80, 80, 20)) as y)")
+def d48_tile_grid(spark: SparkSession, d: str) -> DataFrame:
+    from tidelane.functions.ranges import tile_grid
+
+    return tile_grid(spark, -180, -80, 180, 80, 20)
+
+
 # ---- scalar functions ----------------------------------------------------------------------------------------------
 
 @query("select s_suppkey, coalesce(nullif(s_nationkey, 0), -1) as nation, case when s_acctbal > 0 then 'credit' when s_acctbal < 0 then 'debt' else 'none' end as kind, round(s_acctbal / nullif(s_nationkey, 0), 6) as ratio, cast(round(s_acctbal / 4) as bigint) as quarter, case when nullif(s_nationkey, 3) is not null then greatest(s_suppkey, s_nationkey) end as top, case when nullif(s_nationkey, 3) is not null then least(s_suppkey, s_nationkey) end as low from supplier")

@@ -44,6 +44,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """A table of a few files dealt over all cores, for work that is heavy for each row; a table of many splits as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 #: Share of all rows, and least number of rows, from which on a key counts as hot.
 HOT_SHARE, HOT_ROWS = 0.002, 100_000
 

@@ -193,9 +193,22 @@ class ItemIndex:
         hashes = np.concatenate(grams + [np.empty(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
         self.hash, self.item, self.place = hashes[order], item[order], place[order]
-        # where each item's windows begin, for a maximum by item
+        # for the maximum by item: rows hold all first windows, then all second ones, ..., the items with most windows first
         self.heads = np.searchsorted(p.owner, np.arange(len(ids)))
-        self.some = np.flatnonzero(np.diff(np.append(self.heads, len(p.owner))))
+        count = np.diff(np.append(self.heads, len(p.owner)))
+        self.some = np.argsort(-count, kind="stable")[: int((count > 0).sum())]
+        self.layers = [int((count > w).sum()) for w in range(int(count.max(initial=0)))]
+        self.latent = self.latent[np.concatenate([self.heads[self.some[:n]] + w for w, n in enumerate(self.layers)] + [np.empty(0, int)])]
+
+    def best(self, z: np.ndarray) -> np.ndarray:
+        """Largest cosine of each row of z with any passage of each item of `some`: (items, rows)."""
+        cos = self.latent @ z.T
+        out = cos[: self.layers[0]]
+        at = self.layers[0]
+        for n in self.layers[1:]:
+            np.maximum(out[:n], cos[at : at + n], out=out[:n])
+            at += n
+        return out
 
     def hits(self, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, shift), in order of text, of the alignments that share three anchors or more."""
@@ -293,9 +306,7 @@ def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine,
         held: tuple[int, np.ndarray] | None = None
         hits = check.hits(p, index) if hasattr(check, "hits") else None
         for i, j in p.pieces():
-            # items' passages along the first axis, so that the maximum by item runs over whole rows
-            cos = index.latent @ _unit(p.project(i, j, table)).T
-            best = np.maximum.reduceat(cos, index.heads[index.some], axis=0)
+            best = index.best(_unit(p.project(i, j, table)))
             owner = p.owner[i:j]
             head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             by_doc = np.maximum.reduceat(best, head, axis=1).T

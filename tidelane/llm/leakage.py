@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.runtime import spread_out
+
 FEATURES = 1 << 15
 #: Features to a row of the matrices that tasks send.
 ROWS = 512
@@ -271,7 +273,7 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int
 
 def _search(docs, items, window, stride, rank, least_cosine, check, columns):
     spark = docs.sparkSession
-    docs = docs.where("doc is not null and text is not null")
+    docs = spread_out(docs.where("doc is not null and text is not null"))
     idf = inverse_frequency(docs)
     table = latent_basis(docs, idf, rank, window, stride)
     sent = spark.sparkContext.broadcast(table)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.runtime import written
+from tidelane.runtime import spread_out, written
 
 BINS = 4096
 #: Longest stretch given to the tokenizer at once; longer texts are cut at white space where there is any.
@@ -43,7 +43,7 @@ def token_counts(docs: DataFrame, id_col: str, source: str, text: str, vocabular
             n = [sum(len(encoding.encode_ordinary(s)) for s in _stretches(t)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["source"], pa.array(n, pa.int64())], ["id", "source", "tokens"])
 
-    return rows.mapInArrow(count, f"id {id_type}, source string, tokens bigint")
+    return spread_out(rows).mapInArrow(count, f"id {id_type}, source string, tokens bigint")
 
 
 def _encoding(vocabulary: str):

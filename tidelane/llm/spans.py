@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.runtime import salted_join, written
+from tidelane.runtime import salted_join, spread_out, written
 
 #: Levels of pair naming (each shortens a text to about three quarters) and how often runs are named first.
 LEVELS, RUN_EVERY = 9, 4
@@ -186,7 +186,7 @@ def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) ->
     classes = rows.groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.first(F.length("text")).alias("chars"))
     classes, _ = written(classes.withColumn("copied", F.col("rep") < F.col("last")).drop("last"), "classes")
     # round 1: names of the top level in two different texts, with the representatives that hold them
-    names, _ = written(rows.mapInArrow(_emit_names, f"doc {id_type}, c1 bigint, c2 bigint, name bigint").groupBy("name", "c1", "c2").agg(F.min("doc").alias("doc")), "names")
+    names, _ = written(spread_out(rows).mapInArrow(_emit_names, f"doc {id_type}, c1 bigint, c2 bigint, name bigint").groupBy("name", "c1", "c2").agg(F.min("doc").alias("doc")), "names")
     two = names.groupBy("name").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a <> b").select("name")
     held = salted_join(names.select("name", "doc"), two, ["name"], F.col("doc")).groupBy("doc").agg(F.collect_list("name").alias("shared"))
     # round 2: windows of the representatives that may be shared

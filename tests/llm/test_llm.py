@@ -377,11 +377,11 @@ def test_equal_windows_get_equal_symbols():
     for before, after in (("xyz", "q"), ("", "pppp"), ("aaaaaaa", "")):
         t = before + core + after
         code, wall, starts = spans._joined([t])
-        name, start, end, low, high = spans.parse(code, wall)
+        name, start, low, high = spans.parse(code, wall)
         off = starts[0] + len(before)
         inside = (low >= off) & (high <= off + len(core))
         assert inside.sum() > 5
-        seen.append({(int(s - off), int(e - off), int(x)) for s, e, x in zip(start[inside], end[inside], name[inside])})
+        seen.append({(int(s - off), int(x)) for s, x in zip(start[inside], name[inside])})
     for a, b in combinations(seen, 2):  # a symbol whose dependence lies in both copies is the same in both
         assert len(a & b) > 5
         assert {s for s in a if 60 < s[0] < 340} == {s for s in b if 60 < s[0] < 340}

@@ -6,8 +6,9 @@ symbol stands for, so equal content gets equal names in all records without a di
 stretch of text that its making depends on; where a window of `length` characters covers that stretch, the symbol
 appears in every copy of the window.
 
-Round 1 counts, over the corpus, which names of the top level occur in two different texts. Round 2 brings that back to
-the texts: a window that covers the dependence of an unshared symbol cannot be shared and drops out. Round 3 verifies
+Round 1 counts, over the corpus, which neighbouring symbols of the top level (GRAM at a time) occur in two different
+texts. Round 2 brings that back to the texts: a window that covers the dependence of an unshared gram cannot be shared
+and drops out. Round 3 verifies
 the windows that are left by 128-bit fingerprints of their whole content over the corpus; touching ones unite. No
 text is held against another, so a passage in a third of all records costs no more than any other.
 
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tidelane.runtime import salted_join, spread_out, written
 
-#: Levels of pair naming (each shortens a text to about three quarters) and how often runs are named first.
-LEVELS, RUN_EVERY = 9, 4
-#: Code points parsed at once.
-CHUNK = 400_000
+#: Levels of pair naming (each shortens a text to about three quarters), how often runs are named first, and the symbols of a gram.
+LEVELS, RUN_EVERY, GRAM = 10, 6, 2
+#: Code points parsed at once: arrays of that size stay near the core.
+CHUNK = 120_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,44 +44,66 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _name(a, b, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix(a * np.uint64(0x9E3779B97F4A7C15) + _mix(b + np.uint64(salt)))
+        return _mix(a * np.uint64(0x9E3779B97F4A7C15) + (b + np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+#: Names of the first 65536 code points.
+_FIRST = _mix(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def parse(code: np.ndarray, wall: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, ...]:
-    """(name, start, end, low, high) of the top level's symbols; wall marks places between texts, which join nothing.
+    """(name, start, low, high) of the top level's symbols; wall marks places between texts, which join nothing.
 
     [low, high) is the stretch on which a symbol's making depends; past a wall it takes the wall in.
     """
-    name = _mix(code.astype(np.uint64) + np.uint64(1))
-    start = np.arange(len(code))
-    end = start + 1
-    low, high, wall = start.copy(), end.copy(), wall.copy()
+    with np.errstate(over="ignore"):
+        name = _FIRST[code] if code.max(initial=0) < 65536 else _mix((code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    start = np.arange(len(code), dtype=np.int32)
+    low, high = start, start + np.int32(1)
     for level in range(levels):
-        if len(name) < 2:
+        n = len(name)
+        if n < 2:
             break
         if level % RUN_EVERY == 0:
             same = (name[1:] == name[:-1]) & ~wall[1:] & ~wall[:-1]
             head = np.flatnonzero(np.concatenate([[True], ~same]))
-            tail = np.concatenate([head[1:], [len(name)]]) - 1
-            size = (tail - head + 1).astype(np.uint64)
-            low, high = low[np.maximum(head - 1, 0)], high[np.minimum(tail + 1, len(name) - 1)]
-            name = np.where(size > 1, _name(name[head], size, 1000 + level), name[head])
-            start, end, wall = start[head], end[tail], wall[head]
-        right = (_mix(name + np.uint64(level * 7919 + 13)) >> np.uint64(63)).astype(bool)
-        pair = np.zeros(len(name), bool)
-        pair[:-1] = ~right[:-1] & right[1:] & ~wall[:-1] & ~wall[1:]
-        second = np.concatenate([[False], pair[:-1]])
+            tail = np.concatenate([head[1:], [n]]) - 1
+            low, high = low[np.maximum(head - 1, 0)], high[np.minimum(tail + 1, n - 1)]
+            long = np.flatnonzero(tail > head)
+            new = name[head]
+            new[long] = _name(new[long], (tail - head + 1)[long].astype(np.uint64), 1000 + level)
+            name, start, wall, n = new, start[head], wall[head], len(head)
+        # names are fingerprints, so a bit of them serves as the class, another one on each level
+        right = (name >> np.uint64(level + 1)) & np.uint64(1) == 1
+        pair = np.zeros(n, bool)
+        np.logical_and(~right[:-1], right[1:], out=pair[:-1])
+        pair[:-1] &= ~(wall[:-1] | wall[1:])
+        second = np.zeros(n, bool)
+        second[1:] = pair[:-1]
         keep = np.flatnonzero(~second)
-        p = pair[keep]
-        nxt = np.minimum(keep + 1, len(name) - 1)
+        p, r = pair[keep], right[keep]
+        new = name[keep]
+        at = np.flatnonzero(p)
+        new[at] = _name(new[at], name[keep[at] + 1], level)
         # alone: a left symbol depends on what follows it, a right symbol on what precedes it
-        new_low = np.where(p | ~right[keep], low[keep], low[np.maximum(keep - 1, 0)])
-        new_high = np.where(p | ~right[keep], high[nxt], high[keep])
-        name = np.where(p, _name(name[keep], name[nxt], level), name[keep])
-        start, end, wall = start[keep], np.where(p, end[nxt], end[keep]), wall[keep]
-        low, high = new_low, new_high
-    text = ~wall
-    return name[text], start[text], end[text], low[text], high[text]
+        alone_right = r & ~p
+        low = low[np.where(alone_right, np.maximum(keep - 1, 0), keep)]
+        high = high[np.where(alone_right, keep, np.minimum(keep + 1, n - 1))]
+        name, start, wall = new, start[keep], wall[keep]
+    text = np.flatnonzero(~wall)
+    return name[text], start[text], low[text], high[text]
+
+
+def grams(code: np.ndarray, wall: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(name, text, low, high) of GRAM neighbouring top-level symbols of one text."""
+    name, start, low, high = parse(code, wall)
+    of = np.searchsorted(starts, start, side="right") - 1
+    n = max(0, len(name) - GRAM + 1)
+    whole = np.flatnonzero(of[:n] == of[GRAM - 1 :][:n])
+    out = name[whole]
+    for k in range(1, GRAM):
+        out = _name(out, name[whole + k], 50 + k)
+    return out, of[whole], low[whole], high[whole + GRAM - 1]
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,11 +136,10 @@ def _chunks(batches, text: str):
 
 
 def _emit_names(batches):
-    """(name, c1, c2): names of each text, once each, with the text's class."""
+    """(doc, c1, c2, name): grams of each text, once each, with the text's class."""
     for batch, rows, texts in _chunks(batches, "text"):
         code, wall, starts = _joined(texts)
-        name, start, *_ = parse(code, wall)
-        of = np.searchsorted(starts, start, side="right") - 1
+        name, of, *_ = grams(code, wall, starts)
         order = np.lexsort((name, of))
         name, of = name[order], of[order]
         first = np.concatenate([[True], (name[1:] != name[:-1]) | (of[1:] != of[:-1])]) if len(name) else np.array([], bool)
@@ -152,9 +174,8 @@ def _emit_windows(batches, length: int):
     """(doc, pos, h1, h2) of the windows that no unshared symbol rules out."""
     for batch, rows, texts in _chunks(batches, "text"):
         code, wall, starts = _joined(texts)
-        name, start, _, low, high = parse(code, wall)
+        name, of, low, high = grams(code, wall, starts)
         shared = batch["shared"].to_pylist()
-        of = np.searchsorted(starts, start, side="right") - 1
         known = np.zeros(len(name), bool)
         for k, i in enumerate(rows):
             if shared[i] is not None and len(shared[i]):

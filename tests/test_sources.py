@@ -1,5 +1,6 @@
 import io
 import json
+import struct
 import zipfile
 
 import numpy as np
@@ -61,3 +62,23 @@ def test_days(spark, tmp_path):
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 9]
     sinks.delete_day(spark, path, "2020-01-01")
     assert [str(r.date) for r in sinks.missing_days(df, spark.read.parquet(path)).collect()] == ["2020-01-01"]
+
+
+def test_shape_lines(spark, tmp_path):
+    xy = [(0.0, 0.0), (1.0, 2.0), (5.0, 5.0), (6.0, 6.0), (7.0, 5.0)]
+    body = struct.pack("<i4d2i2i", 3, 0, 0, 7, 6, 2, 5, 0, 2) + b"".join(struct.pack("<2d", *p) for p in xy)
+    empty = struct.pack("<i", 0)
+    records = b"".join(struct.pack(">ii", k, len(b) // 2) + b for k, b in ((1, body), (2, empty), (3, body)))
+    (tmp_path / "a.shp").write_bytes(bytes(100) + records)
+    got = files.shape_lines(spark, str(tmp_path))
+    assert sorted((r.record, r.part, r.k, r.lon, r.lat) for r in got.collect()) == [(n, *x) for n in (1, 3) for x in [(0, 0, 0.0, 0.0), (0, 1, 1.0, 2.0), (1, 0, 5.0, 5.0), (1, 1, 6.0, 6.0), (1, 2, 7.0, 5.0)]]
+    shore = spark.createDataFrame([(5.0, 5.001)], "lat double, lon double")
+    assert {r.part for r in files.near_areas(got, shore, 11_000.0, ["record", "part"]).collect()} == {1}
+
+
+def test_table_comment(spark):
+    spark.range(1).write.mode("overwrite").saveAsTable("described")
+    sinks.describe(spark, "described", "it's from \\ here")
+    row = [r for r in spark.sql("describe extended described").collect() if r.col_name == "Comment"]
+    assert row[0].data_type == "it's from \\ here"
+    spark.sql("drop table described")

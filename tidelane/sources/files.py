@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -154,6 +155,40 @@ def tile_arrays(spark: SparkSession, path: str, shape: tuple[int, ...]) -> DataF
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "tile_id string, height int, width int, vals array<double>")
 
 
+def shape_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, part, k, lon, lat): corners of the lines and rings in shapefiles (.shp; shapes of types 3, 5 and their z and m forms).
+
+    A shapefile is read as one block, as its records have no fixed size; other shapes are passed over.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                raw, at = bytes(content), 100
+                while at + 12 <= len(raw):
+                    record, words = struct.unpack_from(">ii", raw, at)
+                    body = at + 8
+                    kind = struct.unpack_from("<i", raw, body)[0]
+                    if kind in (3, 5, 13, 15, 23, 25):
+                        parts, points = struct.unpack_from("<ii", raw, body + 36)
+                        heads = np.frombuffer(raw, "<i4", parts, body + 44)
+                        xy = np.frombuffer(raw, "<f8", 2 * points, body + 44 + 4 * parts).reshape(-1, 2)
+                        part = np.searchsorted(heads, np.arange(points), side="right") - 1
+                        yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "record": record, "part": part, "k": np.arange(points) - heads[part], "lon": xy[:, 0], "lat": xy[:, 1]})
+                    at = body + 2 * words
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.shp").load(path).select("path", "content")
+    return files.mapInPandas(read, "file string, record int, part int, k int, lon double, lat double")
+
+
+def near_areas(corners: DataFrame, areas: DataFrame, radius_m: float, by: list[str]) -> DataFrame:
+    """Corners (lat, lon, columns by) of the lines that come within the radius of a corner of an area (lat, lon): whole lines are kept."""
+    from tidelane.operators.proximity import distance_join
+
+    hit = distance_join(corners.select(*by, "lat", "lon"), areas.select("lat", "lon"), radius_m).select(*by).distinct()
+    return corners.join(hit, by, "left_semi")
+
+
 def every_second(positions: DataFrame) -> DataFrame:
     """(sat, t, lat, lon): positions of satellites (sat, t, lat, lon in whole seconds, sparse) at every second between, on straight lines."""
     from pyspark.sql import Window

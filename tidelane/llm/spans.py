@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.runtime import salted_join, spread_out, written
+from tidelane.runtime import HOT_ROWS, HOT_SHARE, salted_join, spread_out, written
 
 #: Levels of pair naming (each shortens a text to about three quarters), how often runs are named first, and the symbols of a gram.
 LEVELS, RUN_EVERY, GRAM = 10, 6, 2
@@ -149,9 +149,15 @@ def _emit_names(batches):
         yield pa.RecordBatch.from_arrays([doc.take(pa.array(of)), pa.array(c1[of]), pa.array(c2[of]), pa.array(name)], ["doc", "c1", "c2", "name"])
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    """base^0 to base^n, kept for the next call."""
+    if base not in _KEPT or len(_KEPT[base]) <= n:
+        with np.errstate(over="ignore"):
+            _KEPT[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 2 * CHUNK), base, np.uint64)]))
+    return _KEPT[base][: n + 1]
 
 
 #: Odd multipliers of the two window fingerprints (fixed values).
@@ -175,12 +181,11 @@ def _emit_windows(batches, length: int):
     for batch, rows, texts in _chunks(batches, "text"):
         code, wall, starts = _joined(texts)
         name, of, low, high = grams(code, wall, starts)
-        shared = batch["shared"].to_pylist()
-        known = np.zeros(len(name), bool)
-        for k, i in enumerate(rows):
-            if shared[i] is not None and len(shared[i]):
-                a, b = np.searchsorted(of, [k, k + 1])
-                known[a:b] = np.isin(name[a:b].view(np.int64), np.asarray(shared[i], np.int64))
+        lists = batch["shared"].take(pa.array(rows))
+        held = np.repeat(np.arange(len(rows)), np.asarray(lists.value_lengths().fill_null(0)))
+        # one key for text and name: if ever two fall together, a window too many is verified
+        key = name ^ _FIRST[of & 65535]
+        known = np.isin(key, np.asarray(lists.flatten()).view(np.uint64) ^ _FIRST[held & 65535])
         n = len(code)
         off = np.zeros(n + 2, np.int64)
         # a window [i, i + length) covers [low, high) for i in [high - length, low]
@@ -193,30 +198,44 @@ def _emit_windows(batches, length: int):
         np.add.at(off, walls + 1, -1)
         at = np.flatnonzero(np.cumsum(off)[: max(0, n - length + 1)] == 0)
         if len(at):
-            h1, h2 = window_prints(code, at, length)
             row = np.searchsorted(starts, at, side="right") - 1
+            # fingerprints of the texts with such windows alone
+            some = np.zeros(len(rows), bool)
+            some[row] = True
+            use = np.repeat(some, np.diff(np.append(starts, n)))
+            shift = np.cumsum(use) - 1
+            h1, h2 = window_prints(code[starts[0] :][use], shift[at - starts[0]], length)
             docs = batch["doc"].take(pa.array(np.asarray(rows)[row]))
             yield pa.RecordBatch.from_arrays([docs, pa.array(at - starts[row]), pa.array(h1), pa.array(h2)], ["doc", "pos", "h1", "h2"])
 
 
+def _shared_keys(df: DataFrame, keys: list[str], owner: str) -> tuple[DataFrame, DataFrame | None]:
+    """(keys that stand with two different owners, those of them that are hot, as salted_join takes them): one aggregation gives both."""
+    counted = df.groupBy(*keys).agg(F.min(owner).alias("a"), F.max(owner).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select(*keys, "n")
+    counted, _ = written(counted, "shared")
+    floor = max(HOT_ROWS, int(HOT_SHARE * df.count()))
+    hot = counted.where(F.col("n") > floor).select(*keys, F.ceil(F.col("n") / floor).cast("int").alias("__salts"))
+    return counted.select(*keys), None if hot.isEmpty() else hot
+
+
 def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) -> DataFrame:
     """(id, start, end, chars): the longest stretches of each text covered by strings of `length` that stand in another record; chars is the text's size."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null").where(F.length("text") >= length)
     rows = rows.withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(length), "text")})
     id_type = rows.schema["doc"].dataType.simpleString()
-    classes = rows.groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.first(F.length("text")).alias("chars"))
+    classes = rows.groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.max(F.length("text")).alias("chars"))
     classes, _ = written(classes.withColumn("copied", F.col("rep") < F.col("last")).drop("last"), "classes")
-    # round 1: names of the top level in two different texts, with the representatives that hold them
-    names, _ = written(spread_out(rows).mapInArrow(_emit_names, f"doc {id_type}, c1 bigint, c2 bigint, name bigint").groupBy("name", "c1", "c2").agg(F.min("doc").alias("doc")), "names")
-    two = names.groupBy("name").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a <> b").select("name")
-    held = salted_join(names.select("name", "doc"), two, ["name"], F.col("doc")).groupBy("doc").agg(F.collect_list("name").alias("shared"))
+    # round 1: grams in two different texts, and the records that hold them
+    names, _ = written(spread_out(rows).mapInArrow(_emit_names, f"doc {id_type}, c1 bigint, c2 bigint, name bigint").select("doc", "c1", "name"), "names")
+    two, hot = _shared_keys(names, ["name"], "c1")
+    held = salted_join(names.select("name", "doc"), two, ["name"], F.col("doc"), hot=hot).groupBy("doc").agg(F.collect_list("name").alias("shared"))
     # round 2: windows of the representatives that may be shared
     reps = classes.select(F.col("rep").alias("doc")).join(held, "doc", "left")
     texts = rows.select("doc", "text", "c1", "c2").join(reps, "doc").join(classes.select(F.col("rep").alias("doc"), "c1", "c2"), ["doc", "c1", "c2"], "left_semi").dropDuplicates(["doc", "c1", "c2"])
     windows, _ = written(texts.select("doc", "text", "shared").mapInArrow(lambda it: _emit_windows(it, length), f"doc {id_type}, pos bigint, h1 bigint, h2 bigint"), "windows")
     # round 3: the same content in two texts
-    both = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h1", "h2")
-    found = salted_join(windows, both, ["h1", "h2"], F.col("doc")).select("doc", "pos")
+    both, hot = _shared_keys(windows, ["h1", "h2"], "doc")
+    found = salted_join(windows, both, ["h1", "h2"], F.col("doc"), hot=hot).select("doc", "pos")
     by = Window.partitionBy("doc").orderBy("pos")
     found = found.withColumn("new", (F.col("pos") - F.lag("pos").over(by) > length).cast("int")).withColumn("k", F.sum(F.coalesce("new", F.lit(1))).over(by))
     spans = found.groupBy("doc", "k").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end")).drop("k")

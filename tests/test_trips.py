@@ -65,7 +65,7 @@ def test_empty_and_extra_columns(spark):
     assert T.stops_and_trips(df).count() == 1
 
 
-@pytest.mark.parametrize("hot_rows", [40, 100])
+@pytest.mark.parametrize("hot_rows", [5, 40, 100])
 def test_hot_device_is_split_without_a_difference(spark, hot_rows):
     rows = track(("move", 30), ("stop", 120), ("move", 25), ("stop", 5), ("move", 25), ("stop", 400), ("move", 30), seed=3) + track(("move", 10), ("stop", 20), seg="b")
     assert found(spark, rows, hot_rows=hot_rows) == found(spark, rows)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions.geo import EARTH_RADIUS_M, possible_position
+from tidelane.runtime import BROADCAST_ROWS, salted_join, written
 
 ITEMS = "device string, t0 bigint, t1 bigint, kind int, lat double, lon double, lat1 double, lon1 double, weight double, dist double, pings bigint"
 #: kind of an item: a ping not settled yet, a settled stop, a settled piece of movement.
@@ -50,16 +51,22 @@ def stops_and_trips(
     points = pings.select(
         F.col(device).cast("string").alias("device"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")
     ).where(F.col("device").isNotNull() & F.col("t").isNotNull() & possible_position(F.col("lat"), F.col("lon")))
-    # at most rows / hot_rows devices qualify
-    hot = [r.device for r in points.groupBy("device").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("device").collect()]
-    if not hot:
+    busy, _ = written(points.groupBy("device").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows), "busy")
+    devices = busy.count()
+    if not devices:
         ordered = points.repartition("device").sortWithinPartitions("device", "t", "lat", "lon")
         return ordered.mapInArrow(lambda it: _tracks(it, rules, False), RESULT)
-    busy = F.broadcast(pings.sparkSession.createDataFrame([(h,) for h in hot], "device string"))
-    ranks = points.join(busy, "device").groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("t", F.lit([k / 64 for k in range(1, 64)]), F.lit(1000)).alias("cuts"))
-    hot_list = [(r.device, sorted({r.cuts[round(i)] for i in np.linspace(0, 62, min(63, math.ceil(2 * r.n / hot_rows)))})) for r in ranks.collect()]
-    cuts = pings.sparkSession.createDataFrame(hot_list, "device string, cuts array<bigint>")
-    sliced = points.join(F.broadcast(cuts), "device", "left").withColumn("slice", F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("t"))))).drop("cuts")
+    few = devices <= BROADCAST_ROWS
+    marks = F.percentile_approx("t", F.lit([k / 64 for k in range(1, 64)]), F.lit(1000))
+    ranks = points.join(F.broadcast(busy) if few else busy, "device").groupBy("device", "n").agg(marks.alias("marks"))
+    # about two slices for each hot_rows pings: between quantiles, and where 64 of them are too few, in equal parts between
+    step = F.greatest(F.lit(1), F.floor(F.lit(32.0) * hot_rows / F.col("n"))).cast("int")
+    cuts, _ = written(ranks.select("device", F.ceil(F.col("n") / (32.0 * hot_rows)).alias("parts"), F.array_distinct(F.filter("marks", lambda _, k: k % step == step - 1)).alias("cuts")), "cuts")
+    sliced = points.join(F.broadcast(cuts), "device", "left") if few else salted_join(points, cuts, ["device"], F.col("t"), "left")
+    place = F.size(F.filter("cuts", lambda c: c <= F.col("t")))
+    low, high = F.get("cuts", place - 1), F.get("cuts", place)
+    part = F.least(F.col("parts") - 1, F.floor((F.col("t") - low) * F.col("parts") / (high - low)))
+    sliced = sliced.withColumn("slice", F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(place * F.col("parts") + F.coalesce(part, F.lit(0)))).drop("cuts", "parts")
     cold = sliced.where("slice < 0").drop("slice").repartition("device").sortWithinPartitions("device", "t", "lat", "lon").mapInArrow(lambda it: _tracks(it, rules, False), RESULT)
     items = sliced.where("slice >= 0").repartition("device", "slice").sortWithinPartitions("device", "slice", "t", "lat", "lon").mapInArrow(lambda it: _slices(it, rules), ITEMS)
     joined = items.repartition("device").sortWithinPartitions("device", "t0").mapInArrow(lambda it: _tracks(it, rules, True), RESULT)

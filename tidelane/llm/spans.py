@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.runtime import HOT_ROWS, HOT_SHARE, salted_join, spread_out, written
+from tidelane.runtime import HOT_ROWS, HOT_SHARE, discard, salted_join, spread_out, written
 
 #: Levels of pair naming (each shortens a text to about three quarters), how often runs are named first, and the symbols of a gram.
 LEVELS, RUN_EVERY, GRAM = 10, 6, 2
@@ -226,13 +226,14 @@ def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) ->
     classes = rows.groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.max(F.length("text")).alias("chars"))
     classes, _ = written(classes.withColumn("copied", F.col("rep") < F.col("last")).drop("last"), "classes")
     # round 1: grams in two different texts, and the records that hold them
-    names, _ = written(spread_out(rows).mapInArrow(_emit_names, f"doc {id_type}, c1 bigint, c2 bigint, name bigint").select("doc", "c1", "name"), "names")
+    names, names_path = written(spread_out(rows).mapInArrow(_emit_names, f"doc {id_type}, c1 bigint, c2 bigint, name bigint").select("doc", "c1", "name"), "names")
     two, hot = _shared_keys(names, ["name"], "c1")
     held = salted_join(names.select("name", "doc"), two, ["name"], F.col("doc"), hot=hot).groupBy("doc").agg(F.collect_list("name").alias("shared"))
     # round 2: windows of the representatives that may be shared
     reps = classes.select(F.col("rep").alias("doc")).join(held, "doc", "left")
     texts = rows.select("doc", "text", "c1", "c2").join(reps, "doc").join(classes.select(F.col("rep").alias("doc"), "c1", "c2"), ["doc", "c1", "c2"], "left_semi").dropDuplicates(["doc", "c1", "c2"])
-    windows, _ = written(texts.select("doc", "text", "shared").mapInArrow(lambda it: _emit_windows(it, length), f"doc {id_type}, pos bigint, h1 bigint, h2 bigint"), "windows")
+    windows, windows_path = written(texts.select("doc", "text", "shared").mapInArrow(lambda it: _emit_windows(it, length), f"doc {id_type}, pos bigint, h1 bigint, h2 bigint"), "windows")
+    discard(docs.sparkSession, names_path)
     # round 3: the same content in two texts
     both, hot = _shared_keys(windows, ["h1", "h2"], "doc")
     found = salted_join(windows, both, ["h1", "h2"], F.col("doc"), hot=hot).select("doc", "pos")
@@ -242,4 +243,6 @@ def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) ->
     single = classes.where("not copied").select(F.col("rep").alias("doc"), "chars")
     copied = salted_join(rows.select("doc", "c1", "c2"), classes.where("copied").select("c1", "c2", "chars"), ["c1", "c2"], F.col("doc")).select("doc", F.lit(0).cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("end"), "chars").distinct()
     own = spans.join(single, "doc").select("doc", "start", "end", "chars")
-    return own.unionByName(copied).withColumnRenamed("doc", id_col)
+    result, _ = written(own.unionByName(copied).withColumnRenamed("doc", id_col), "spans")
+    discard(docs.sparkSession, windows_path)
+    return result

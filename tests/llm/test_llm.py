@@ -264,6 +264,23 @@ def test_leaks(spark):
     assert leakage.leaks(d.select("doc", "text"), i.select("item", "text").limit(0)).count() == 0
 
 
+def test_shortest_leaks_in_foreign_texts(spark):
+    """25 words, up to two of them exchanged, anywhere in a text that repeats words of its own."""
+    rng = random.Random(11)
+    items = [(k, text(rng, 60)) for k in range(40)]
+    docs = []
+    for k, (_, s) in enumerate(items):
+        for exchanged in (0, 1, 2):
+            at, p = rng.randrange(36), rng.randrange(200)
+            cut = s.split()[at : at + 25]
+            for j in rng.sample(range(25), exchanged):
+                cut[j] = f"other{rng.randrange(10**6)}"
+            words = [f"foreign{k}{'ab'[j % 2]}" for j in range(200)]
+            docs.append((3 * k + exchanged, " ".join(words[:p] + cut + words[p:])))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(items, "item bigint, text string")).collect()
+    assert {(r.doc, r.item) for r in got} == {(k, k // 3) for k in range(120)}
+
+
 def test_paraphrase_checks(spark):
     rng = random.Random(3)
     item = text(rng, 32).split()

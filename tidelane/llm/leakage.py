@@ -3,13 +3,15 @@
 Texts are cut into overlapping passages of `window` words. Their TF-IDF vectors (words hashed to FEATURES, document
 frequencies over the whole corpus) go through a distributed randomised SVD: each task sends its share of A'(A Omega), a
 matrix of FEATURES x rank whatever its input, and the orthonormal basis of the sum is the latent space. Every passage of
-the corpus is held against every passage of the items there, by one matrix product for each block of passages. A pair of
-a document and an item with a cosine of least_cosine or more is a candidate, and is checked at once in the same task;
-no candidate list is written, and there is no cap on candidates.
+the corpus is held against every passage of the items there, by one matrix product for each block of passages. Pairs of
+a document and an item are checked at once in the same task; no candidate list is written, and there is no cap on
+candidates.
 
 Check for verbatim leaks: a stretch of min_words or more words that lie against each other in order, of which at most
 one in ten differs. Such a stretch holds at least three runs of ANCHOR equal words in the same alignment (pigeonhole),
-so alignments with fewer are passed over. Check for paraphrases: the longest common subsequence of two passages, and
+so alignments with fewer are passed over. Anchors are looked up exactly and in all places, so they alone find every
+leak; a short one in a foreign text can have any cosine, which is reported and drops nothing unless least_cosine is
+given. Check for paraphrases: the longest common subsequence of two passages, and
 the share of the item's answer words (words with digits) that the passage holds.
 
 Items are a stated query set: they go to the tasks in blocks of BLOCK items, each a pass over the corpus.
@@ -261,7 +263,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 32, stride: int = 16, rank: int = 48, least_cosine: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 32, stride: int = 16, rank: int = 64, least_cosine: float = -np.inf) -> DataFrame:
     """(doc, item, words, first_word, cosine): documents that hold a stretch of an item. docs: doc, text; items: item, text."""
     return _search(docs, items, window, stride, rank, least_cosine, _Verbatim(min_words, exchanged), "words bigint, first_word bigint, cosine double")
 

@@ -71,6 +71,23 @@ def test_hot_device_is_split_without_a_difference(spark, hot_rows):
     assert found(spark, rows, hot_rows=hot_rows) == found(spark, rows)
 
 
+@pytest.mark.parametrize("around", [100, 1500])
+def test_short_stop_in_a_long_track(spark, around):
+    rows = track(("move", around), ("stop", 13), ("move", around))
+    assert [g[1:] for g in found(spark, rows) if g[1] == "stop"] == [("stop", around - 1, around + 12)]
+
+
+def test_one_short_stop_is_found_whatever_the_length():
+    rng = np.random.default_rng(2)
+    for n, every, knots, stay in ((800, 300, 10, 13), (6000, 300, 10, 13), (6000, 600, 12, 7), (6000, 300, 6, 13)):
+        step = knots * 1852 / 3600 * every * rng.normal(1, 0.05, n)
+        step[n // 2 : n // 2 + stay] = 0
+        x = np.cumsum(step) + rng.normal(0, 20, n)
+        t = np.arange(n) * every * 1_000_000
+        stops = T.find_stops(t, x, rng.normal(0, 20, n), np.ones(n), (250.0, 3.6e9, 12 * 3.6e9, 2, 0.5))
+        assert [(a, b) for a, b, _ in stops] == [(n // 2 - 1, n // 2 + stay - 1)]
+
+
 def test_date_line(spark):
     rows = [("a", T0 + dt.timedelta(minutes=5 * k), 0.0, 179.9999 if k % 2 else -179.9999) for k in range(30)]
     assert [g[1] for g in found(spark, rows)] == ["stop"]

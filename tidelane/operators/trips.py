@@ -2,7 +2,8 @@
 
 Per device the track is cut at silences; within a piece, positions are filtered (running median), and the
 filtered displacement and speed from ping to ping go through a penalised changepoint segmentation. Each segment
-gets a mobility label from its displacement. Dwelling segments are settled exactly: the longest run of pings
+gets a mobility label from its displacement; stretches of pings that stay within reach of each other are labelled as
+dwelling besides, since a short stop in a long track makes no segment. Dwelling segments are settled exactly: the longest run of pings
 within a radius of their common centre, where short runs of faulty positions are bridged. Trips are the rest.
 
 A device with more than `hot_rows` pings is split at time quantiles. Each slice settles what lies between two cuts
@@ -209,6 +210,26 @@ def changepoints(signal: np.ndarray, penalty: float) -> list[int]:
     return sorted(starts)
 
 
+def _linked(t, x, y, most: float, min_us: float, max_faulty: int) -> np.ndarray:
+    """Pings of the stretches, min_us or longer, that links hold together: two pings at most `most` apart, up to max_faulty pings between.
+
+    Two good pings of a stop in a row are such a link, so every stop lies in a stretch, whatever the segments around it.
+    """
+    n = len(t)
+    open_ = np.zeros(n + 1, np.int64)
+    for k in range(1, max_faulty + 2):
+        i = np.flatnonzero(np.hypot(x[k:] - x[:-k], y[k:] - y[:-k]) <= most + 1e-6)
+        open_[i] += 1
+        open_[i + k] -= 1
+    step = np.cumsum(open_)[: n - 1] > 0  # from each ping to the next
+    flips = np.flatnonzero(np.diff(np.concatenate([[0], step.astype(np.int8), [0]])))
+    out = np.zeros(n, bool)
+    for a, b in zip(flips[::2], flips[1::2]):
+        if t[b] - t[a] >= min_us:
+            out[a : b + 1] = True
+    return out
+
+
 def find_stops(t, x, y, w, rules) -> list[tuple[int, int, np.ndarray]]:
     """(first, last, good pings) of every stop of one piece without silences."""
     radius, min_us, _, max_faulty, penalty = rules
@@ -227,6 +248,7 @@ def find_stops(t, x, y, w, rules) -> list[tuple[int, int, np.ndarray]]:
     for a, b in zip(starts, starts[1:]):
         if np.median(disp[a:b]) <= 2 * radius:
             dwell[max(0, a - 3) : b + 4] = True
+    dwell |= _linked(t, x, y, 2 * radius, min_us, max_faulty)
     out, i = [], 0
     flips = np.flatnonzero(np.diff(np.concatenate([[0], dwell.astype(np.int8), [0]])))
     for a, b in zip(flips[::2], flips[1::2]):

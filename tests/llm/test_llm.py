@@ -290,6 +290,23 @@ def test_paraphrase_checks(spark):
     assert [(r.doc, r.item) for r in got] == [(1, 9)]
 
 
+def test_paraphrases_in_foreign_texts(spark):
+    """A passage from any place of an item, up to a quarter of its words exchanged, in a text that repeats words of its own."""
+    rng = random.Random(13)
+    items = [(k, text(rng, 80)) for k in range(30)]
+    docs = []
+    for k, (_, s) in enumerate(items):
+        for exchanged in (0, 3, 8):
+            at, p = rng.randrange(49), rng.randrange(150)
+            cut = s.split()[at : at + 32]
+            for j in rng.sample(range(32), exchanged):
+                cut[j] = "other"
+            words = [f"foreign{k}{'ab'[j % 2]}" for j in range(150)]
+            docs.append((len(docs), " ".join(words[:p] + cut + words[p:])))
+    got = leakage.paraphrases(spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(items, "item bigint, text string")).collect()
+    assert {(r.doc, r.item) for r in got} == {(k, k // 3) for k in range(90)}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
 def test_common_subsequence(a, b):

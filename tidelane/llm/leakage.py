@@ -12,7 +12,9 @@ one in ten differs. Such a stretch holds at least three runs of ANCHOR equal wor
 so alignments with fewer are passed over. Anchors are looked up exactly and in all places, so they alone find every
 leak; a short one in a foreign text can have any cosine, which is reported and drops nothing unless least_cosine is
 given. Check for paraphrases: the longest common subsequence of two passages, and
-the share of the item's answer words (words with digits) that the passage holds.
+the share of the item's answer words (words with digits) that the passage holds. The item's passages are taken at every
+word; the share of a passage's words that a text holds bounds the subsequence, is counted for all pairs and rules out
+the rest, so again no cosine is needed.
 
 Items are a stated query set: they go to the tasks in blocks of BLOCK items, each a pass over the corpus.
 
@@ -190,6 +192,9 @@ class ItemIndex:
         digits = {code for raw, code in kept.items() if code and any(c.isdigit() for c in raw)}
         self.answer = np.array(sorted(digits), np.int64)
         p = self.passages
+        self.every = Passages(p.words, window, 1)
+        self.every_from = np.searchsorted(self.every.owner, np.arange(len(ids) + 1))
+        self.vocabulary, self.word = np.unique(p.all, return_inverse=True)
         self.latent = _unit(np.concatenate([p.project(i, j, table) for i, j in p.pieces()] + [np.zeros((0, table.shape[1]))]))
         grams = [_grams(w) for w in p.words]
         item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
@@ -214,6 +219,15 @@ class ItemIndex:
             at += n
         return out
 
+    def held(self, words: np.ndarray) -> np.ndarray:
+        """Share of the words of each passage in `every` that are among the given ones; no common subsequence is longer."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        known = np.zeros(len(self.vocabulary), np.int8)
+        known[at[self.vocabulary[at] == words]] = 1
+        cum = np.concatenate([[0], np.cumsum(known[self.word], dtype=np.int32)])
+        q = self.every
+        return (cum[q.last] - cum[q.first]) / (q.last - q.first)
+
     def hits(self, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, shift), in order of text, of the alignments that share three anchors or more."""
         g = _grams(p.all)
@@ -268,7 +282,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: flo
     return _search(docs, items, window, stride, rank, least_cosine, _Verbatim(min_words, exchanged), "words bigint, first_word bigint, cosine double")
 
 
-def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 16, rank: int = 64, least_cosine: float = 0.9, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
+def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 16, rank: int = 64, least_cosine: float = -np.inf, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
     """(doc, item, common, answers, cosine): documents with a passage close to one of an item; common is the share of its words in the longest common subsequence, answers that of its words with digits."""
     return _search(docs, items, window, stride, rank, least_cosine, _Reworded(least_common, least_answer), "common double, answers double, cosine double")
 
@@ -360,20 +374,27 @@ class _Reworded:
 
     def __call__(self, p, k, row, index, least_cosine, hits):
         out = []
-        words, q = p.words[k], index.passages
-        for n in np.flatnonzero(row >= least_cosine):
-            item = int(index.some[n])
+        words, q = p.words[k], index.every
+        held = index.held(words)
+        near = np.flatnonzero(held >= self.least_common)
+        cosine = np.full(len(index.ids), -np.inf)
+        cosine[index.some] = row
+        for item in np.unique(q.owner[near]).tolist():
+            if cosine[item] < least_cosine:
+                continue
             best = (0.0, 0.0)
-            for w in range(index.heads[item], index.heads[item + 1] if item + 1 < len(index.ids) else len(q.owner)):
+            a, b = np.searchsorted(near, index.every_from[item : item + 2])
+            for w in sorted(near[a:b].tolist(), key=lambda w: -held[w]):
+                if held[w] < best[0]:
+                    break
                 passage = q.all[q.first[w] : q.last[w]]
-                here = np.isin(passage, words)
-                if here.mean() < self.least_common:
-                    continue
-                known = np.isin(passage, index.answer)
+                here, known = np.isin(passage, words), np.isin(passage, index.answer)
                 answers = float(here[known].mean()) if known.any() else 1.0
+                if answers < self.least_answer:
+                    continue
                 common = common_subsequence(passage, words) / len(passage)
-                if common >= self.least_common and answers >= self.least_answer:
+                if common >= self.least_common:
                     best = max(best, (common, answers))
             if best[0]:
-                out.append((index.ids[item], round(best[0], 6), round(best[1], 6), float(row[n])))
+                out.append((index.ids[item], round(best[0], 6), round(best[1], 6), float(cosine[item])))
         return out

@@ -4,15 +4,18 @@ Each text is parsed level by level as in recompression: runs of one symbol becom
 "left" and a "right" symbol, the class of a symbol being a bit of its name. A name is a 64-bit fingerprint of what the
 symbol stands for, so equal content gets equal names in all records without a dictionary. With every symbol goes the
 stretch of text that its making depends on; where a window of `length` characters covers that stretch, the symbol
-appears in every copy of the window.
+appears in every copy of the window. Of the top level, each symbol whose name is smaller than both its neighbours' goes
+out with them as one landmark: a third of the symbols, and again a matter of content alone.
 
-Round 1 counts, over the corpus, which neighbouring symbols of the top level (GRAM at a time) occur in two different
-texts. Round 2 brings that back to the texts: a window that covers the dependence of an unshared gram cannot be shared
-and drops out. Round 3 verifies
-the windows that are left by 128-bit fingerprints of their whole content over the corpus; touching ones unite. No
-text is held against another, so a passage in a third of all records costs no more than any other.
+Round 1 names landmarks over the corpus: which stand in two different texts. Runs of shared landmarks become
+stretches; windows outside them cover an unshared landmark and can't be shared. Only texts with stretches go on.
+Round 2 cuts the stretches at symbols and names the pieces by 128-bit hashes of their characters: a piece that stands
+in two texts is shared as a whole. Round 3 takes the pieces that aren't, most of them the ragged ends, window by window,
+against each other and against one copy of every piece that is.
+Touching pieces and windows unite. No text is held against another, so a passage in a third of all records costs no more
+than any other.
 
-Texts that are equal form a class, are parsed for matching once, and are shared as a whole.
+Texts that are equal form a class, are matched once, and are shared as a whole.
 
 Defined results: null, empty and shorter texts have no spans; positions are code points, ends exclusive; text repeated
 only within its own record doesn't count; records with a null id take no part; repeated ids count as one record for each
@@ -23,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.runtime import HOT_ROWS, HOT_SHARE, discard, salted_join, spread_out, written
+from tidelane.runtime import BROADCAST_ROWS, HOT_ROWS, HOT_SHARE, discard, salted_join, spread_out, written
 
-#: Levels of pair naming (each shortens a text to about three quarters), how often runs are named first, and the symbols of a gram.
-LEVELS, RUN_EVERY, GRAM = 10, 6, 2
+#: Levels of pair naming (each shortens a text to about three quarters), and how often runs are named first.
+LEVELS, RUN_EVERY = 8, 6
 #: Code points parsed at once: arrays of that size stay near the core.
 CHUNK = 120_000
 
@@ -94,16 +98,12 @@ def parse(code: np.ndarray, wall: np.ndarray, levels: int = LEVELS) -> tuple[np.
     return name[text], start[text], low[text], high[text]
 
 
-def grams(code: np.ndarray, wall: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(name, text, low, high) of GRAM neighbouring top-level symbols of one text."""
+def landmarks(code: np.ndarray, wall: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(name, text, low, high): each top-level symbol with the smallest name among its neighbours of the same text, together with them."""
     name, start, low, high = parse(code, wall)
     of = np.searchsorted(starts, start, side="right") - 1
-    n = max(0, len(name) - GRAM + 1)
-    whole = np.flatnonzero(of[:n] == of[GRAM - 1 :][:n])
-    out = name[whole]
-    for k in range(1, GRAM):
-        out = _name(out, name[whole + k], 50 + k)
-    return out, of[whole], low[whole], high[whole + GRAM - 1]
+    k = np.flatnonzero((of[:-2] == of[2:]) & (name[1:-1] < name[:-2]) & (name[1:-1] <= name[2:]))
+    return _name(_name(name[k], name[k + 1], 51), name[k + 2], 52), of[k], low[k], high[k + 2]
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,126 +123,144 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _chunks(batches, text: str):
     """(row numbers within the batch, texts) of about CHUNK code points, with the batch."""
     for batch in batches:
-        texts = batch[text].to_pylist()
-        rows, size = [], 0
-        for i, t in enumerate(texts):
+        column = batch.column(batch.schema.get_field_index(text))
+        rows, texts, size = [], [], 0
+        for i in range(batch.num_rows):
             rows.append(i)
-            size += len(t) + 1
+            texts.append(column[i].as_py())
+            size += len(texts[-1]) + 1
             if size >= CHUNK:
-                yield batch, rows, [texts[k] for k in rows]
-                rows, size = [], 0
+                yield batch, rows, texts
+                rows, texts, size = [], [], 0
         if rows:
-            yield batch, rows, [texts[k] for k in rows]
+            yield batch, rows, texts
 
 
-def _emit_names(batches):
-    """(doc, c1, c2, name): grams of each text, once each, with the text's class."""
+def _emit_landmarks(batches, length: int):
+    """(c1, c2, doc, k, name, a, b): the k-th landmark of a text; without its neighbours' names shared, windows from a to b may be. Name null: a window from a to b covers no landmark."""
     for batch, rows, texts in _chunks(batches, "text"):
         code, wall, starts = _joined(texts)
-        name, of, *_ = grams(code, wall, starts)
-        order = np.lexsort((name, of))
-        name, of = name[order], of[order]
-        first = np.concatenate([[True], (name[1:] != name[:-1]) | (of[1:] != of[:-1])]) if len(name) else np.array([], bool)
-        name, of = name[first].view(np.int64), of[first]
-        c1, c2 = (batch[c].to_numpy()[rows] for c in ("c1", "c2"))
-        doc = batch["doc"].take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([doc.take(pa.array(of)), pa.array(c1[of]), pa.array(c2[of]), pa.array(name)], ["doc", "c1", "c2", "name"])
-
-
-_KEPT: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 to base^n, kept for the next call."""
-    if base not in _KEPT or len(_KEPT[base]) <= n:
-        with np.errstate(over="ignore"):
-            _KEPT[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 2 * CHUNK), base, np.uint64)]))
-    return _KEPT[base][: n + 1]
-
-
-#: Odd multipliers of the two window fingerprints (fixed values).
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-def window_prints(code: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
-    """Two 64-bit fingerprints of code[i : i + length] for each i in at."""
-    out = []
-    with np.errstate(over="ignore"):
-        for k, base in enumerate(BASES):
-            value = _mix(code.astype(np.uint64) + np.uint64(77 + k))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _powers(base, len(code) - 1))])
-            back = _powers(pow(base, -1, 1 << 64), len(code))
-            out.append(_mix((total[at + length] - total[at]) * back[at]).view(np.int64))
-    return out
-
-
-def _emit_windows(batches, length: int):
-    """(doc, pos, h1, h2) of the windows that no unshared symbol rules out."""
+        name, of, low, high = landmarks(code, wall, starts)
+        narrow = high - low <= length
+        name, of = name[narrow], of[narrow]
+        low, high = low[narrow] - starts[of], high[narrow] - starts[of]
+        sizes = np.diff(np.append(starts, len(code))) - 1
+        first = np.searchsorted(of, np.arange(len(rows) + 1))
+        k = np.arange(len(of)) - first[of]
+        head, tail = k == 0, np.append(of[1:] != of[:-1], True)[: len(of)]
+        before = np.where(head, -1, np.concatenate([[0], low[:-1]])[: len(of)])
+        after = np.where(tail, sizes[of] + 1, np.concatenate([high[1:], [0]])[: len(of)])
+        # windows between two neighbours that cover neither, and those before the first and behind the last
+        gap_of, gap_a, gap_b = np.concatenate([of, of[tail]]), np.concatenate([before + 1, low[tail] + 1]), np.concatenate([high - length - 1, sizes[of[tail]] - length])
+        bare = np.flatnonzero(np.diff(first) == 0)
+        gap_of, gap_a, gap_b = np.concatenate([gap_of, bare]), np.concatenate([gap_a, np.zeros(len(bare), int)]), np.concatenate([gap_b, sizes[bare] - length])
+        gap = np.flatnonzero(gap_a <= gap_b)
+        names = pa.concat_arrays([pa.array(name.view(np.int64)), pa.nulls(len(gap), pa.int64())])
+        owner = pa.array(np.asarray(rows)[np.concatenate([of, gap_of[gap]])])
+        numbers = [np.concatenate(x).astype(np.int32) for x in ((k, np.zeros(len(gap), int)), (before + 1, gap_a[gap]), (after - length - 1, gap_b[gap]))]
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(owner) for c in ("c1", "c2", "doc")), pa.array(numbers[0]), names, pa.array(numbers[1]), pa.array(numbers[2])], ["c1", "c2", "doc", "k", "name", "a", "b"])
+
+
+def _hashed(code: np.ndarray, first: np.ndarray, behind: np.ndarray) -> list[pa.Array]:
+    """128-bit hashes of the characters from first to behind, as two columns."""
+    view = memoryview(np.ascontiguousarray(code)).cast("B")
+    digests = [xxhash.xxh3_128_digest(view[4 * i : 4 * j]) for i, j in zip(first.tolist(), behind.tolist())]
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def _emit_pieces(batches, length: int, cut: bool):
+    """(c1, c2, a, b, h1, h2) of runs of windows a to b, hashed over all their characters: stretches cut at symbols, or single windows."""
     for batch, rows, texts in _chunks(batches, "text"):
         code, wall, starts = _joined(texts)
-        name, of, low, high = grams(code, wall, starts)
-        lists = batch["shared"].take(pa.array(rows))
-        held = np.repeat(np.arange(len(rows)), np.asarray(lists.value_lengths().fill_null(0)))
-        # one key for text and name: if ever two fall together, a window too many is verified
-        key = name ^ _FIRST[of & 65535]
-        known = np.isin(key, np.asarray(lists.flatten()).view(np.uint64) ^ _FIRST[held & 65535])
-        n = len(code)
-        off = np.zeros(n + 2, np.int64)
-        # a window [i, i + length) covers [low, high) for i in [high - length, low]
-        bad = ~known & (high - low <= length)
-        np.add.at(off, np.maximum(high[bad] - length, 0), 1)
-        np.add.at(off, low[bad] + 1, -1)
-        # nor may it hold a wall
-        walls = np.flatnonzero(wall)
-        np.add.at(off, np.maximum(walls - length + 1, 0), 1)
-        np.add.at(off, walls + 1, -1)
-        at = np.flatnonzero(np.cumsum(off)[: max(0, n - length + 1)] == 0)
-        if len(at):
-            row = np.searchsorted(starts, at, side="right") - 1
-            # fingerprints of the texts with such windows alone
-            some = np.zeros(len(rows), bool)
-            some[row] = True
-            use = np.repeat(some, np.diff(np.append(starts, n)))
-            shift = np.cumsum(use) - 1
-            h1, h2 = window_prints(code[starts[0] :][use], shift[at - starts[0]], length)
-            docs = batch["doc"].take(pa.array(np.asarray(rows)[row]))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(at - starts[row]), pa.array(h1), pa.array(h2)], ["doc", "pos", "h1", "h2"])
-
-
-def _shared_keys(df: DataFrame, keys: list[str], owner: str) -> tuple[DataFrame, DataFrame | None]:
-    """(keys that stand with two different owners, those of them that are hot, as salted_join takes them): one aggregation gives both."""
-    counted = df.groupBy(*keys).agg(F.min(owner).alias("a"), F.max(owner).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select(*keys, "n")
-    counted, _ = written(counted, "shared")
+        lists = batch["at"].take(pa.array(rows))
+        of = np.repeat(np.arange(len(rows)), np.asarray(lists.value_lengths()))
+        flat = lists.flatten()
+        a, b = (np.asarray(flat.field(c)).astype(np.int64) + starts[of] for c in ("a", "b"))
+        # united where they overlap
+        order = np.lexsort((a, of))
+        of, a, b = of[order], a[order], np.maximum.accumulate(b[order])
+        new = np.concatenate([[True], a[1:] > b[:-1]])
+        head = np.flatnonzero(new)
+        of, a, b = of[head], a[head], b[np.append(head[1:], len(b)) - 1]
+        if cut:
+            start = parse(code, wall)[1]
+            run = np.searchsorted(a, start, side="right") - 1
+            inside = (run >= 0) & (start > a[run]) & (start <= b[run])
+            first = np.sort(np.concatenate([a, start[inside]]))
+        else:
+            first = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)])
+        run = np.searchsorted(a, first, side="right") - 1
+        last = np.where(np.append(run[1:] != run[:-1], True), b[run], np.append(first[1:], 0) - 1)
+        text = of[run]
+        owner = pa.array(np.asarray(rows)[text])
+        yield pa.RecordBatch.from_arrays([batch["c1"].take(owner), batch["c2"].take(owner), pa.array((first - starts[text]).astype(np.int32)), pa.array((last - starts[text]).astype(np.int32)), *_hashed(code, first, last + length)], ["c1", "c2", "a", "b", "h1", "h2"])
+
+
+def _in_two_texts(df: DataFrame, keys: list[str], name: str, first: Column | None = None) -> tuple[DataFrame, DataFrame | None, str]:
+    """(keys that stand in two different texts, those of them that are hot, as salted_join takes them, path): one aggregation gives all. first: its smallest value of each key comes too."""
+    extra = {} if first is None else {"first": F.min(first)}
+    counted = df.groupBy(*keys).agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()])
+    counted, path = written(counted.where("low < high").select(*keys, "n", *extra), name)
     floor = max(HOT_ROWS, int(HOT_SHARE * df.count()))
     hot = counted.where(F.col("n") > floor).select(*keys, F.ceil(F.col("n") / floor).cast("int").alias("__salts"))
-    return counted.select(*keys), None if hot.isEmpty() else hot
+    return counted.select(*keys, *extra), None if hot.isEmpty() else hot, path
+
+
+TEXT = ["c1", "c2"]
+PIECES = "c1 bigint, c2 bigint, a int, b int, h1 bigint, h2 bigint"
+
+
+def _listed(runs: DataFrame) -> DataFrame:
+    """The runs of windows of each text as one list, which is no longer than the text."""
+    return runs.groupBy(*TEXT).agg(F.collect_list(F.struct("a", "b")).alias("at"))
 
 
 def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) -> DataFrame:
     """(id, start, end, chars): the longest stretches of each text covered by strings of `length` that stand in another record; chars is the text's size."""
+    spark = docs.sparkSession
+    used: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept, path = written(df, name)
+        used.append(path)
+        return kept
+
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null").where(F.length("text") >= length)
     rows = rows.withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(length), "text")})
     id_type = rows.schema["doc"].dataType.simpleString()
-    classes = rows.groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.max(F.length("text")).alias("chars"))
-    classes, _ = written(classes.withColumn("copied", F.col("rep") < F.col("last")).drop("last"), "classes")
-    # round 1: grams in two different texts, and the records that hold them
-    names, names_path = written(spread_out(rows).mapInArrow(_emit_names, f"doc {id_type}, c1 bigint, c2 bigint, name bigint").select("doc", "c1", "name"), "names")
-    two, hot = _shared_keys(names, ["name"], "c1")
-    held = salted_join(names.select("name", "doc"), two, ["name"], F.col("doc"), hot=hot).groupBy("doc").agg(F.collect_list("name").alias("shared"))
-    # round 2: windows of the representatives that may be shared
-    reps = classes.select(F.col("rep").alias("doc")).join(held, "doc", "left")
-    texts = rows.select("doc", "text", "c1", "c2").join(reps, "doc").join(classes.select(F.col("rep").alias("doc"), "c1", "c2"), ["doc", "c1", "c2"], "left_semi").dropDuplicates(["doc", "c1", "c2"])
-    windows, windows_path = written(texts.select("doc", "text", "shared").mapInArrow(lambda it: _emit_windows(it, length), f"doc {id_type}, pos bigint, h1 bigint, h2 bigint"), "windows")
-    discard(docs.sparkSession, names_path)
-    # round 3: the same content in two texts
-    both, hot = _shared_keys(windows, ["h1", "h2"], "doc")
-    found = salted_join(windows, both, ["h1", "h2"], F.col("doc"), hot=hot).select("doc", "pos")
-    by = Window.partitionBy("doc").orderBy("pos")
-    found = found.withColumn("new", (F.col("pos") - F.lag("pos").over(by) > length).cast("int")).withColumn("k", F.sum(F.coalesce("new", F.lit(1))).over(by))
-    spans = found.groupBy("doc", "k").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end")).drop("k")
-    single = classes.where("not copied").select(F.col("rep").alias("doc"), "chars")
-    copied = salted_join(rows.select("doc", "c1", "c2"), classes.where("copied").select("c1", "c2", "chars"), ["c1", "c2"], F.col("doc")).select("doc", F.lit(0).cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("end"), "chars").distinct()
-    own = spans.join(single, "doc").select("doc", "start", "end", "chars")
+    classes = rows.groupBy(*TEXT).agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.max(F.length("text")).alias("chars"))
+    classes = keep(classes.withColumn("copied", F.col("rep") < F.col("last")).drop("last"), "classes")
+    # round 1: landmarks in two different texts, and the stretches that runs of them make
+    marks, marks_path = written(spread_out(rows).mapInArrow(lambda it: _emit_landmarks(it, length), f"c1 bigint, c2 bigint, doc {id_type}, k int, name bigint, a int, b int"), "landmarks")
+    two, hot, two_path = _in_two_texts(marks.where("name is not null"), ["name"], "named")
+    # a copied text is shared as a whole already
+    single = classes.where("not copied").select(*TEXT)
+    held = salted_join(marks.where("name is not null").select(*TEXT, "k", "name", "a", "b"), two, ["name"], F.col("c1"), hot=hot).drop("name").join(single, TEXT, "left_semi")
+    by = Window.partitionBy(*TEXT).orderBy("k")
+    run = F.sum((F.coalesce(F.col("k") - F.lag("k").over(by), F.lit(2)) > 1).cast("int")).over(by)
+    runs = held.withColumn("run", run).groupBy(*TEXT, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <= b").drop("run")
+    gaps = marks.where("name is null").select(*TEXT, "a", "b").join(single, TEXT, "left_semi")
+    stretches = keep(_listed(runs.unionByName(gaps)), "stretches")
+    discard(spark, marks_path, two_path)
+    few = stretches.count() <= BROADCAST_ROWS
+    texts = keep(rows.select(*TEXT, "text").join(F.broadcast(stretches) if few else stretches, TEXT).dropDuplicates(TEXT), "texts")
+    # round 2: pieces of the stretches by their characters
+    pieces = keep(texts.mapInArrow(lambda it: _emit_pieces(it, length, True), PIECES), "pieces")
+    whole, hot, path = _in_two_texts(pieces, ["h1", "h2"], "whole", F.struct(*TEXT, "a", "b"))
+    used.append(path)
+    settled = keep(salted_join(pieces, whole.select("h1", "h2", F.lit(True).alias("shared")), ["h1", "h2"], F.col("c1"), "left", hot).select(*TEXT, "a", "b", "shared"), "settled")
+    # round 3: what is left, window by window, against one copy of each piece that is shared as a whole
+    ends = _listed(settled.where("shared is null").select(*TEXT, "a", "b").unionByName(whole.select("first.*")))
+    windows = keep(texts.drop("at").join(ends, TEXT).mapInArrow(lambda it: _emit_pieces(it, length, False), PIECES), "windows")
+    both, hot, path = _in_two_texts(windows, ["h1", "h2"], "both")
+    used.append(path)
+    found = salted_join(windows, both, ["h1", "h2"], F.col("c1"), hot=hot).select(*TEXT, "a", "b").unionByName(settled.where("shared").select(*TEXT, "a", "b"))
+    by = Window.partitionBy(*TEXT).orderBy("a")
+    far = F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)) + length, F.lit(True))
+    spans = found.withColumn("new", far.cast("int")).withColumn("k", F.sum("new").over(by)).groupBy(*TEXT, "k").agg(F.min("a").alias("start"), (F.max("b") + length).alias("end")).drop("k")
+    own = spans.join(classes.where("not copied"), TEXT).select(F.col("rep").alias("doc"), F.col("start").cast("bigint"), F.col("end").cast("bigint"), "chars")
+    copied = salted_join(rows.select("doc", *TEXT), classes.where("copied").select(*TEXT, "chars"), TEXT, F.col("doc")).select("doc", F.lit(0).cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("end"), "chars").distinct()
     result, _ = written(own.unionByName(copied).withColumnRenamed("doc", id_col), "spans")
-    discard(docs.sparkSession, windows_path)
+    discard(spark, *used)
     return result

@@ -385,8 +385,9 @@ def shared(docs, n):
     return out
 
 
-def test_shared_spans(spark):
-    rng = random.Random(11)
+@pytest.mark.parametrize("seed", [11, 12])
+def test_shared_spans(spark, seed):
+    rng = random.Random(seed)
     letters = lambda n: "".join(rng.choice("abcdefg hij\U0001F600é") for _ in range(n))
     boiler = letters(90)
     docs = []
@@ -404,6 +405,18 @@ def test_shared_spans(spark):
     assert spans.shared_spans(df.limit(0), "doc_id", "text", n).count() == 0
 
 
+def test_spans_begin_and_end_within_the_text(spark):
+    """Texts that begin and end with what they share, next to each other in one chunk."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    common = [letters(rng.randrange(60, 200)) for _ in range(12)]
+    docs = [(k, rng.choice(common) + letters(rng.choice([0, 1, 30, 90])) + rng.choice(common)) for k in range(80)]
+    lone = letters(300)
+    docs += [(100, lone), (101, lone), (102, lone[:80] + letters(60)), (103, "!" + lone[200:] + "?")]  # a text that only copies hold, and parts of it
+    got = {tuple(r)[:3] for r in spans.shared_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", 50).collect()}
+    assert got == shared(docs, 50)
+
+
 def test_equal_windows_get_equal_symbols():
     rng = random.Random(5)
     core = "".join(rng.choice("abcd ") for _ in range(400))

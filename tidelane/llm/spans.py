@@ -143,8 +143,9 @@ def _emit_landmarks(batches, length: int):
         name, of, low, high = landmarks(code, wall, starts)
         narrow = high - low <= length
         name, of = name[narrow], of[narrow]
-        low, high = low[narrow] - starts[of], high[narrow] - starts[of]
         sizes = np.diff(np.append(starts, len(code))) - 1
+        # what reaches past a wall stands in no window, however far
+        low, high = np.maximum(low[narrow] - starts[of], -1), np.minimum(high[narrow] - starts[of], sizes[of] + 1)
         first = np.searchsorted(of, np.arange(len(rows) + 1))
         k = np.arange(len(of)) - first[of]
         head, tail = k == 0, np.append(of[1:] != of[:-1], True)[: len(of)]
@@ -234,13 +235,13 @@ def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) ->
     # round 1: landmarks in two different texts, and the stretches that runs of them make
     marks, marks_path = written(spread_out(rows).mapInArrow(lambda it: _emit_landmarks(it, length), f"c1 bigint, c2 bigint, doc {id_type}, k int, name bigint, a int, b int"), "landmarks")
     two, hot, two_path = _in_two_texts(marks.where("name is not null"), ["name"], "named")
-    # a copied text is shared as a whole already
-    single = classes.where("not copied").select(*TEXT)
-    held = salted_join(marks.where("name is not null").select(*TEXT, "k", "name", "a", "b"), two, ["name"], F.col("c1"), hot=hot).drop("name").join(single, TEXT, "left_semi")
+    # one copy of each text goes on
+    one = classes.select(*TEXT, F.col("rep").alias("doc"))
+    held = salted_join(marks.where("name is not null"), two, ["name"], F.col("c1"), hot=hot).drop("name").join(one, [*TEXT, "doc"], "left_semi")
     by = Window.partitionBy(*TEXT).orderBy("k")
     run = F.sum((F.coalesce(F.col("k") - F.lag("k").over(by), F.lit(2)) > 1).cast("int")).over(by)
     runs = held.withColumn("run", run).groupBy(*TEXT, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <= b").drop("run")
-    gaps = marks.where("name is null").select(*TEXT, "a", "b").join(single, TEXT, "left_semi")
+    gaps = marks.where("name is null").join(one, [*TEXT, "doc"], "left_semi").select(*TEXT, "a", "b")
     stretches = keep(_listed(runs.unionByName(gaps)), "stretches")
     discard(spark, marks_path, two_path)
     few = stretches.count() <= BROADCAST_ROWS

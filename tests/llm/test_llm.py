@@ -413,6 +413,9 @@ def test_spans_begin_and_end_within_the_text(spark):
     docs = [(k, rng.choice(common) + letters(rng.choice([0, 1, 30, 90])) + rng.choice(common)) for k in range(80)]
     lone = letters(300)
     docs += [(100, lone), (101, lone), (102, lone[:80] + letters(60)), (103, "!" + lone[200:] + "?")]  # a text that only copies hold, and parts of it
+    for k in range(20):  # a piece that stands whole in two texts, and a part of it once more in one of them
+        piece = letters(200)
+        docs += [(200 + 2 * k, letters(9) + piece + letters(9) + piece[:60] + letters(5)), (201 + 2 * k, letters(30) + piece + letters(7))]
     got = {tuple(r)[:3] for r in spans.shared_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", 50).collect()}
     assert got == shared(docs, 50)
 

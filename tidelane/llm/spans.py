@@ -171,7 +171,7 @@ def _hashed(code: np.ndarray, first: np.ndarray, behind: np.ndarray) -> list[pa.
 
 
 def _emit_pieces(batches, length: int, cut: bool):
-    """(c1, c2, a, b, h1, h2) of runs of windows a to b, hashed over all their characters: stretches cut at symbols, or single windows."""
+    """(c1, c2, known, a, b, h1, h2) of runs of windows a to b, hashed over all their characters: stretches cut at symbols, or single windows."""
     for batch, rows, texts in _chunks(batches, "text"):
         code, wall, starts = _joined(texts)
         lists = batch["at"].take(pa.array(rows))
@@ -195,21 +195,21 @@ def _emit_pieces(batches, length: int, cut: bool):
         last = np.where(np.append(run[1:] != run[:-1], True), b[run], np.append(first[1:], 0) - 1)
         text = of[run]
         owner = pa.array(np.asarray(rows)[text])
-        yield pa.RecordBatch.from_arrays([batch["c1"].take(owner), batch["c2"].take(owner), pa.array((first - starts[text]).astype(np.int32)), pa.array((last - starts[text]).astype(np.int32)), *_hashed(code, first, last + length)], ["c1", "c2", "a", "b", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(owner) for c in ("c1", "c2", "known")), pa.array((first - starts[text]).astype(np.int32)), pa.array((last - starts[text]).astype(np.int32)), *_hashed(code, first, last + length)], ["c1", "c2", "known", "a", "b", "h1", "h2"])
 
 
 def _in_two_texts(df: DataFrame, keys: list[str], name: str, first: Column | None = None) -> tuple[DataFrame, DataFrame | None, str]:
-    """(keys that stand in two different texts, those of them that are hot, as salted_join takes them, path): one aggregation gives all. first: its smallest value of each key comes too."""
+    """(keys that stand in two different texts, or in a row that is known to be shared, those of them that are hot, as salted_join takes them, path): one aggregation gives all. first: its smallest value of each key comes too."""
     extra = {} if first is None else {"first": F.min(first)}
-    counted = df.groupBy(*keys).agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()])
-    counted, path = written(counted.where("low < high").select(*keys, "n", *extra), name)
+    counted = df.groupBy(*keys).agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.max("known").alias("known"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()])
+    counted, path = written(counted.where("known or low < high").select(*keys, "n", *extra), name)
     floor = max(HOT_ROWS, int(HOT_SHARE * df.count()))
     hot = counted.where(F.col("n") > floor).select(*keys, F.ceil(F.col("n") / floor).cast("int").alias("__salts"))
     return counted.select(*keys, *extra), None if hot.isEmpty() else hot, path
 
 
 TEXT = ["c1", "c2"]
-PIECES = "c1 bigint, c2 bigint, a int, b int, h1 bigint, h2 bigint"
+PIECES = "c1 bigint, c2 bigint, known boolean, a int, b int, h1 bigint, h2 bigint"
 
 
 def _listed(runs: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) ->
     classes = keep(classes.withColumn("copied", F.col("rep") < F.col("last")).drop("last"), "classes")
     # round 1: landmarks in two different texts, and the stretches that runs of them make
     marks, marks_path = written(spread_out(rows).mapInArrow(lambda it: _emit_landmarks(it, length), f"c1 bigint, c2 bigint, doc {id_type}, k int, name bigint, a int, b int"), "landmarks")
-    two, hot, two_path = _in_two_texts(marks.where("name is not null"), ["name"], "named")
+    two, hot, two_path = _in_two_texts(marks.where("name is not null").withColumn("known", F.lit(False)), ["name"], "named")
     # one copy of each text goes on
     one = classes.select(*TEXT, F.col("rep").alias("doc"))
     held = salted_join(marks.where("name is not null"), two, ["name"], F.col("c1"), hot=hot).drop("name").join(one, [*TEXT, "doc"], "left_semi")
@@ -245,18 +245,18 @@ def shared_spans(docs: DataFrame, id_col: str, text: str, length: int = 160) ->
     stretches = keep(_listed(runs.unionByName(gaps)), "stretches")
     discard(spark, marks_path, two_path)
     few = stretches.count() <= BROADCAST_ROWS
-    texts = keep(rows.select(*TEXT, "text").join(F.broadcast(stretches) if few else stretches, TEXT).dropDuplicates(TEXT), "texts")
+    texts = keep(rows.select(*TEXT, "text", F.lit(False).alias("known")).join(F.broadcast(stretches) if few else stretches, TEXT).dropDuplicates(TEXT), "texts")
     # round 2: pieces of the stretches by their characters
     pieces = keep(texts.mapInArrow(lambda it: _emit_pieces(it, length, True), PIECES), "pieces")
     whole, hot, path = _in_two_texts(pieces, ["h1", "h2"], "whole", F.struct(*TEXT, "a", "b"))
     used.append(path)
     settled = keep(salted_join(pieces, whole.select("h1", "h2", F.lit(True).alias("shared")), ["h1", "h2"], F.col("c1"), "left", hot).select(*TEXT, "a", "b", "shared"), "settled")
     # round 3: what is left, window by window, against one copy of each piece that is shared as a whole
-    ends = _listed(settled.where("shared is null").select(*TEXT, "a", "b").unionByName(whole.select("first.*")))
-    windows = keep(texts.drop("at").join(ends, TEXT).mapInArrow(lambda it: _emit_pieces(it, length, False), PIECES), "windows")
+    ends = _listed(settled.where("shared is null")).withColumn("known", F.lit(False)).unionByName(_listed(whole.select("first.*")).withColumn("known", F.lit(True)))
+    windows = keep(texts.drop("at", "known").join(ends, TEXT).mapInArrow(lambda it: _emit_pieces(it, length, False), PIECES), "windows")
     both, hot, path = _in_two_texts(windows, ["h1", "h2"], "both")
     used.append(path)
-    found = salted_join(windows, both, ["h1", "h2"], F.col("c1"), hot=hot).select(*TEXT, "a", "b").unionByName(settled.where("shared").select(*TEXT, "a", "b"))
+    found = salted_join(windows.where("not known"), both, ["h1", "h2"], F.col("c1"), hot=hot).select(*TEXT, "a", "b").unionByName(settled.where("shared").select(*TEXT, "a", "b"))
     by = Window.partitionBy(*TEXT).orderBy("a")
     far = F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)) + length, F.lit(True))
     spans = found.withColumn("new", far.cast("int")).withColumn("k", F.sum("new").over(by)).groupBy(*TEXT, "k").agg(F.min("a").alias("start"), (F.max("b") + length).alias("end")).drop("k")

@@ -71,6 +71,43 @@ def test_hot_device_is_split_without_a_difference(spark, hot_rows):
     assert found(spark, rows, hot_rows=hot_rows) == found(spark, rows)
 
 
+@pytest.mark.parametrize("every", [10, 60, 300])
+def test_dense_moving_device_passes_on_little(spark, every):
+    """At any density a moving vessel's slices settle nearly all, with the same result as unsplit."""
+    rng = np.random.default_rng(every)
+    rules = (250.0, 3.6e9, 12 * 3.6e9, 2, 0.5)
+    n = 20_000
+    step = 5.1 * every * rng.normal(1, 0.05, n)  # 10 knots
+    for a in (4000, 11_000):
+        step[a : a + 5400 // every + 1] = 0  # stops of an hour and a half
+    lat = np.cumsum(step) / 111_194.9 + rng.normal(0, 1e-4, n)
+    t = np.arange(n) * every * 1_000_000
+    assert len(T._slice_items(t, lat % 60, np.full(n, 7.0), rules)) < 0.05 * n
+    few = slice(0, 6000)
+    df = spark.createDataFrame([("a", T0 + dt.timedelta(microseconds=int(u)), float(v), 7.0) for u, v in zip(t[few], lat[few])], SCHEMA)
+    key = lambda r: (r.kind, r.start_us, r.end_us, r.pings)
+    whole = sorted(map(key, T.stops_and_trips(df).collect()))
+    assert sorted(map(key, T.stops_and_trips(df, hot_rows=1000).collect())) == whole and [k[0] for k in whole].count("stop") == 1
+
+
+def test_cuts_cross_no_stop():
+    """On wandering tracks with faulty positions, no cut lies within a stop of the unsplit track."""
+    rng = np.random.default_rng(8)
+    rules = (250.0, 3.6e9, 12 * 3.6e9, 2, 0.5)
+    crossed = cuts = 0
+    for _ in range(20):
+        n = 3000
+        speed = np.repeat(rng.choice([0.0, 0.05, 0.3, 5.0], 30), 100)
+        x = np.cumsum(speed * 60 * rng.normal(1, 0.1, n)) + rng.normal(0, 15, n)
+        x[rng.random(n) < 0.03] += 9000
+        t = np.cumsum(rng.integers(30, 90, n)) * 1_000_000
+        y = rng.normal(0, 15, n)
+        at = T._cuts(t, x, y, 0, n - 1, rules)
+        cuts += at.sum()
+        crossed += sum(at[a:b].sum() for a, b, _ in T.find_stops(t, x, y, np.ones(n), rules))
+    assert cuts > 1000 and crossed == 0
+
+
 @pytest.mark.parametrize("around", [100, 1500])
 def test_short_stop_in_a_long_track(spark, around):
     rows = track(("move", around), ("stop", 13), ("move", around))

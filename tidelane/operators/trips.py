@@ -8,8 +8,10 @@ within a radius of their common centre, where short runs of faulty positions are
 
 A device with more than `hot_rows` pings is split at time quantiles. Each slice settles what lies between two cuts
 that no stop can span, and passes on only its two open edges, with long dwells in them reduced to hull points and a
-weighted centre. A second, small pass per device joins the edges. What a device sends there is bounded by its time
-span, since stops last min_stop_s and silences max_gap_s at least.
+weighted centre. A second pass per device joins the edges. A cut lies where, within half of min_stop_s on either side,
+the device has left every place that a stop across the cut could be at; a device that moves over 4 radii in
+min_stop_s has cuts however dense its pings are. One that creeps along for a whole slice, too slow for a cut and too
+fast for a dwell, passes on all of that slice.
 
 Defined results: no rows for an empty table; rows with null device, time or position, or an impossible position,
 don't count; pings of one device at one instant count once (smallest lat, lon); a device with one ping gives a trip
@@ -302,23 +304,76 @@ def _grow(x, y, w, i, j, radius, max_faulty, low, high):
     return int(good[0]), int(good[-1]), good
 
 
-def _slice_items(t, la, lo, rules):
+def _left_behind(t, x, y, at, step: int, rules) -> np.ndarray:
+    """When, from each ping of `at` on (step 1) or back (-1), over max_faulty pings in a row have lain over a diameter from it.
+
+    A stop that holds the ping has ended by then. Infinite where that takes longer than half of min_stop, or the arrays end.
+    """
+    radius, min_us, _, max_faulty, _ = rules
+    n = len(t)
+    out = np.full(len(at), step * np.inf)
+    open_ = np.arange(len(at))
+    run = np.zeros(len(at), np.int64)
+    lag = 1
+    while len(open_):
+        p = at[open_]
+        q = p + step * lag
+        live = (q >= 0) & (q < n)
+        live[live] = np.abs(t[q[live]] - t[p[live]]) < min_us / 2
+        open_, p, q = open_[live], p[live], q[live]
+        far = np.hypot(x[q] - x[p], y[q] - y[p]) > 2 * radius
+        run[open_] = np.where(far, run[open_] + 1, 0)
+        done = run[open_] > max_faulty
+        out[open_[done]] = t[q[done]]
+        open_ = open_[~done]
+        lag += 1
+    return out
+
+
+def _cuts(t, x, y, a: int, b: int, rules) -> np.ndarray:
+    """Whether no stop spans i -> i+1, for i from a to b.
+
+    A stop across the cut has a good ping among the max_faulty + 1 on either side, within a diameter of each other, and
+    lasts half of min_stop before or after the ping behind the cut. So on that side it takes a place not left within that time.
+    """
+    radius, min_us, max_gap, max_faulty, _ = rules
+    n, reach = len(t), max_faulty + 1
+    low, high = max(0, a - reach), min(n, b + reach + 1)
+    near = np.arange(low, high)
+    gone = {s: np.full(n, s * np.inf) for s in (1, -1)}
+    for s in gone:
+        gone[s][near] = _left_behind(t, x, y, near, s, rules)
+    i = np.arange(a, b)
+    before, after, apart = np.ones(b - a, bool), np.ones(b - a, bool), np.ones(b - a, bool)
+    inside = (i - reach + 1 >= 0) & (i + reach < n)
+    for p in range(reach):
+        k = np.maximum(i - p, 0)
+        before &= gone[-1][k] > t[i + 1] - min_us / 2
+        for q in range(1, reach + 1):
+            m = np.minimum(i + q, n - 1)
+            if p == 0:
+                after &= gone[1][m] < t[i + 1] + min_us / 2
+            if q + p <= reach:
+                apart &= np.hypot(x[k] - x[m], y[k] - y[m]) > 2 * radius
+    return inside & (apart | (before & after)) | (np.diff(t)[a:b] > max_gap)
+
+
+def _slice_items(t, la, lo, rules, block: int = 4096):
     """Items of one slice of a hot device: settled between the first and last cut that no stop can span, open pings beside them."""
-    radius, _, max_gap, max_faulty, _ = rules
     n = len(t)
     x, y = _plane(la, lo)
-    reach = max_faulty + 1
-    cut = np.zeros(n, bool)  # cut[i]: nothing spans i -> i+1
-    if n > 2 * reach:
-        ok = np.ones(n - 2 * reach + 1, bool)  # for i = reach-1 ...
-        for p in range(reach):
-            for q in range(1, reach + 1 - p):
-                i = np.arange(reach - 1, n - reach)
-                ok[: len(i)] &= np.hypot(x[i - p] - x[i + q], y[i - p] - y[i + q]) > 2 * radius
-        cut[reach - 1 : n - reach] = ok[: n - 2 * reach + 1]
-    cut[: n - 1] |= np.diff(t) > max_gap
-    places = np.flatnonzero(cut)
-    first, last = (int(places[0]) + 1, int(places[-1]) + 1) if len(places) else (n, n)
+    first, last = n, n
+    for a in range(0, n - 1, block):
+        found = np.flatnonzero(_cuts(t, x, y, a, min(a + block, n - 1), rules))
+        if len(found):
+            first = a + int(found[0]) + 1
+            break
+    if first < n:
+        for b in range(n - 1, 0, -block):
+            found = np.flatnonzero(_cuts(t, x, y, max(0, b - block), b, rules))
+            if len(found):
+                last = max(0, b - block) + int(found[-1]) + 1
+                break
     out = _open_items(t[:first], la[:first], lo[:first], rules)
     if last > first:
         out += _atoms(t[first:last], la[first:last], lo[first:last], np.ones(last - first), rules)

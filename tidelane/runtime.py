@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -44,6 +45,26 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def small(df: DataFrame) -> bool:
+    """Whether a table may be broadcast; counts it."""
+    return df.count() <= BROADCAST_ROWS
+
+
+def kept_name(df: DataFrame, *settings) -> str | None:
+    """A name for what is made of df with these settings, the same while the files it is read from stay the same; None without files."""
+    files = sorted(df.inputFiles())
+    if not files:
+        return None
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    seen = hashlib.md5(repr((df.columns, settings)).encode())
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        seen.update(repr((f, status.getLen(), status.getModificationTime())).encode())
+    return seen.hexdigest()
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """A table of a few files dealt over all cores, for work that is heavy for each row; a table of many splits as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

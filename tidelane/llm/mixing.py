@@ -16,14 +16,17 @@ every document max_repeats times and is reported; ties in rank go to the smaller
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.runtime import spread_out, written
+from tidelane.runtime import discard, salted_join, small, spread_out, written
 
 BINS = 4096
-#: Longest stretch given to the tokenizer at once; longer texts are cut at white space where there is any.
+#: From this length on, a stretch ends at the next place where the tokenizer's pattern ends a piece in any case: before a single blank between word characters.
 STRETCH = 100_000
+_PLACE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
 def normal_source(c: Column) -> Column:
@@ -61,58 +64,55 @@ def _encoding(vocabulary: str):
     return kept[vocabulary]
 
 
-def _stretches(text: str):
+def _stretches(text: str, size: int = STRETCH):
     a = 0
-    while len(text) - a > STRETCH:
-        b = text.rfind(" ", a + 1, a + STRETCH)
-        b = b if b > a else a + STRETCH
-        yield text[a:b]
-        a = b
+    while len(text) - a > size:
+        place = _PLACE.search(text, a + size)
+        if place is None:
+            break
+        yield text[a : place.start()]
+        a = place.start()
     yield text[a:]
 
 
-def allocation(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row for each target: source, name (as given), target_share, max_repeats, docs, tokens, wanted (tokens), reachable.
+def _by_source(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins rows of any number to one row for each source: by broadcast if those are few, else with hot sources salted."""
+    return rows.join(F.broadcast(few), "source", how) if small(few) else salted_join(rows, few, ["source"], F.col("id"), how)
 
-    targets has source, target_share, max_repeats. The few rows of sources are joined by broadcast after a size check of targets.
-    """
+
+def allocation(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row for each target: source, name (as given), target_share, max_repeats, docs, tokens, wanted (tokens), reachable. targets: source, target_share, max_repeats."""
     total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     sizes = counts.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
-    t = targets.select(F.col("source").alias("name"), normal_source(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("bigint"))
+    t = targets.select(F.col("source").alias("name"), normal_source(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.coalesce(F.col("max_repeats").cast("bigint"), F.lit(0)).alias("max_repeats"))
     t = t.where("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats", "name")).alias("t")).select("source", "t.*")
     both = t.join(sizes, "source", "left").fillna(0, ["docs", "tokens"]).join(F.broadcast(total))
     wanted = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)) * F.col("total")
-    return both.select("source", "name", "target_share", "max_repeats", "docs", "tokens", wanted.alias("wanted"), (F.col("tokens") * F.coalesce("max_repeats", F.lit(0)) >= wanted).alias("reachable"))
+    return both.select("source", "name", "target_share", "max_repeats", "docs", "tokens", wanted.alias("wanted"), (F.col("tokens") * F.col("max_repeats") >= wanted).alias("reachable"))
 
 
-def _multiples(plan: DataFrame, counts: DataFrame, weight: Column, rounds: int = 40) -> DataFrame:
-    """plan with c: lambda = min(c w, max_repeats) meets `wanted`. Solved over (source, tokens) counts, by rising c until no document newly hits its cap."""
-    sizes, _ = written(counts.where("tokens > 0").groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("w", weight), "sizes")
-    plan = plan.withColumn("c", F.lit(0.0))
-    before = None
-    for _ in range(rounds):
+def _multiples(plan: DataFrame, counts: DataFrame, weight: Column) -> DataFrame:
+    """plan with c: lambda = min(c w, max_repeats) meets `wanted`. Solved over (source, tokens) counts, by rising c until no document newly hits its cap.
+
+    Each round caps at least one more size of document, so the rounds end.
+    """
+    spark = counts.sparkSession
+    sizes, sizes_path = written(counts.where("tokens > 0").groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("w", weight).withColumn("id", F.col("tokens")), "sizes")
+    plan, path = written(plan.withColumn("c", F.lit(0.0)), "plan")
+    while True:
         capped = F.col("c") * F.col("w") >= F.col("max_repeats")
-        sums = sizes.join(plan.select("source", "c", "max_repeats"), "source").groupBy("source").agg(
+        sums = _by_source(sizes, plan.select("source", "c", "max_repeats")).groupBy("source").agg(
             F.sum(F.when(capped, F.col("n") * F.col("tokens") * F.col("max_repeats")).otherwise(0)).alias("fixed"),
             F.sum(F.when(~capped, F.col("n") * F.col("tokens") * F.col("w")).otherwise(0.0)).alias("open"),
         )
-        rows = {r["source"]: (r["fixed"], r["open"]) for r in sums.collect()}  # one row for each target
-        # sources are as few as targets
-        old = {r["source"]: r for r in plan.collect()}
-        new = []
-        for s, r in old.items():
-            fixed, open_ = rows.get(s, (0, 0.0))
-            c = r["c"]
-            if r["reachable"]:
-                c = max(c, (r["wanted"] - fixed) / open_) if open_ > 0 else c
-            elif r["tokens"]:
-                c = float("inf")
-            new.append((*[v for k, v in r.asDict().items() if k != "c"], float(c)))
-        plan = counts.sparkSession.createDataFrame(new, plan.schema)
-        now = {r[0]: r[-1] for r in new}
-        if now == before:
+        more = F.when(F.col("reachable") & (F.col("open") > 0), F.greatest("c", (F.col("wanted") - F.col("fixed")) / F.col("open"))).when(~F.col("reachable") & (F.col("tokens") > 0), F.lit(float("inf"))).otherwise(F.col("c"))
+        new, new_path = written(plan.join(sums, "source", "left").withColumn("before", F.col("c")).withColumn("c", more).drop("fixed", "open"), "plan")
+        risen = not new.where("c > before * (1 + 1e-12) and c < double('infinity')").isEmpty()
+        discard(spark, path)
+        plan, path = new.drop("before"), new_path
+        if not risen:
             break
-        before = now
+    discard(spark, sizes_path)
     return plan
 
 
@@ -120,7 +120,7 @@ def mixture(counts: DataFrame, targets: DataFrame, seed: int = 7, weight: Column
     """(copies, plan): copies has id, source, tokens, copies (1 or more); weight: of a document, by its tokens (all 1 by default)."""
     weight = F.lit(1.0) if weight is None else weight
     plan = _multiples(allocation(counts, targets), counts, weight)
-    docs = counts.where("tokens > 0").join(F.broadcast(plan.select("source", "c", "max_repeats").where("c > 0")), "source").withColumn("w", weight)
+    docs = _by_source(counts.where("tokens > 0"), plan.select("source", "c", "max_repeats").where("c > 0")).withColumn("w", weight)
     # c w is infinite for an unreachable target, which the cap turns into max_repeats
     docs = docs.withColumn("lam", F.least(F.col("c") * F.col("w"), F.col("max_repeats").cast("double")))
     docs = docs.withColumn("sure", F.floor(F.col("lam") + 1e-9)).withColumn("pi", F.greatest(F.col("lam") - F.col("sure"), F.lit(0.0)))
@@ -132,7 +132,7 @@ def mixture(counts: DataFrame, targets: DataFrame, seed: int = 7, weight: Column
     w = Window.partitionBy("source").orderBy("bin")  # at most BINS rows for each target
     cum = bins.withColumns({"upto": F.sum("n").over(w), "size": F.round(F.sum("pi").over(Window.partitionBy("source")))})
     end = cum.where(F.col("upto") >= F.col("size")).groupBy("source").agg(F.min(F.struct("bin", (F.col("size") - F.col("upto") + F.col("n")).alias("take"))).alias("e")).select("source", F.col("e.bin").alias("end"), F.col("e.take").alias("take"))
-    marked = docs.join(F.broadcast(end), "source", "left")
+    marked = _by_source(docs, end, "left")
     last = Window.partitionBy("source").orderBy("rank", F.col("id"))
     tail = marked.where("bin = end").withColumn("k", F.row_number().over(last)).where("k <= take").withColumn("more", F.lit(1)).drop("k")
     drawn = marked.where("bin < end").withColumn("more", F.lit(1)).unionByName(tail).select("id", "source", "tokens", (F.col("sure") + 1).alias("copies"))
@@ -144,10 +144,12 @@ def mixture(counts: DataFrame, targets: DataFrame, seed: int = 7, weight: Column
 
 
 def shares(copies: DataFrame, plan: DataFrame) -> DataFrame:
-    """Target share, actual share of the mixture and of the tokens of all documents (null for a target of zero), and the most copies of a document."""
+    """What was drawn for each target: target share, actual share of the mixture and of the tokens of all documents (null for a target of zero), the most copies of a document, and short: every document is in max_repeats times, and still there is too little."""
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got"), F.max("copies").alias("most"))
     whole = copies.agg(F.sum(F.col("tokens") * F.col("copies")).alias("all_tokens"))
-    return plan.join(got, "source", "left").join(F.broadcast(whole)).select(
+    drawn = F.coalesce("got", F.lit(0)).cast("bigint")
+    return plan.alias("plan").join(got, "source", "left").join(F.broadcast(whole)).select(
         F.col("name").alias("source"), "target_share", F.round(F.coalesce(F.try_divide("got", "all_tokens"), F.lit(0.0)), 6).alias("actual_share"),
-        F.round(F.try_divide(F.coalesce("got", F.lit(0)) * F.col("target_share"), "wanted"), 6).alias("corpus_share"), F.coalesce("got", F.lit(0)).cast("bigint").alias("tokens"), F.coalesce("most", F.lit(0)).alias("most_copies"), "reachable",
+        F.round(F.try_divide(drawn * F.col("target_share"), "wanted"), 6).alias("corpus_share"), drawn.alias("tokens"), F.coalesce("most", F.lit(0)).alias("most_copies"),
+        ((drawn < F.col("wanted")) & (drawn >= F.col("plan.tokens") * F.col("max_repeats"))).alias("short"),
     )

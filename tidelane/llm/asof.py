@@ -54,4 +54,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: float, start
     out = accepted[0]
     for part in accepted[1:]:
         out = out.unionByName(part)
-    return out
+    result, _ = written(out, "asof")
+    discard(spark, *used)
+    return result

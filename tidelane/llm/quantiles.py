@@ -68,6 +68,10 @@ class Summary:
                 s.full[level], s.turn[level] = np.asarray(vals, float), turn
         return s
 
+    def size(self) -> int:
+        """Values held."""
+        return len(self.tail) + sum(map(len, self.full.values()))
+
     def weighted(self) -> tuple[np.ndarray, np.ndarray]:
         parts = [(self.tail, 1), *((b, 1 << level) for level, b in self.full.items())]
         v = np.concatenate([p for p, _ in parts])
@@ -134,10 +138,17 @@ def percentiles(parts: DataFrame, groups: list[str], qs: list[float], k: int = 5
 
 
 def _runs(batches, keys: list[str], columns: list[str]):
-    """Rows of each run of equal keys."""
+    """Rows of each run of equal keys; lists of values as arrays."""
+
+    def values(batch, c):
+        if not pa.types.is_list(batch.schema.field(c).type):
+            return batch[c].to_pylist()
+        flat, at = batch[c].values.to_numpy(zero_copy_only=False), batch[c].offsets.to_numpy()
+        return [flat[i:j] for i, j in zip(at, at[1:])]
+
     last, held = None, []
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in [*keys, *columns])):
+        for row in zip(*(values(batch, c) for c in [*keys, *columns])):
             key = row[: len(keys)]
             if key != last and held:
                 yield last, held
@@ -155,9 +166,13 @@ def _emit(keys: list[str], found):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*keys, "piece", "n", "level", "turn", "vals"])
 
 
+#: What the open summaries of a task may take, and what one takes beside its values.
+HELD_BYTES, SUMMARY_BYTES = 64 << 20, 2_000
+
+
 def _build(batches, keys: list[str], k: int):
     open_: dict[tuple, Summary] = {}
-    piece = 0
+    piece = held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -166,11 +181,21 @@ def _build(batches, keys: list[str], k: int):
         lists = t["v_list"].combine_chunks()
         flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         for i, key in enumerate(zip(*(t[g].to_pylist() for g in keys))):
-            open_.setdefault(key, Summary(k)).add(flat[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]])
-        if len(open_) > 20_000:  # many groups: hand over what there is; it is merged later
-            yield from _emit(keys, ((key, piece, s) for key, s in open_.items()))
-            open_ = {}
-    yield from _emit(keys, ((key, piece, s) for key, s in open_.items()))
+            s = open_.setdefault(key, Summary(k))
+            before = s.size()
+            s.add(flat[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]])
+            held += 8 * (s.size() - before)
+        if held + SUMMARY_BYTES * len(open_) > HELD_BYTES:  # hand over what there is; it is merged later
+            yield from _emit_all(keys, piece, open_)
+            open_, held = {}, 0
+    yield from _emit_all(keys, piece, open_)
+
+
+def _emit_all(keys: list[str], piece: int, open_: dict[tuple, Summary]):
+    """All open summaries, a thousand to a batch."""
+    all_ = list(open_.items())
+    for a in range(0, len(all_), 1000):
+        yield from _emit(keys, ((key, piece, s) for key, s in all_[a : a + 1000]))
 
 
 def _merge(batches, by: list[str], keys: list[str], k: int):

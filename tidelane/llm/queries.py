@@ -11,12 +11,12 @@ from tidelane.functions.geo import haversine_m, possible_position
 from tidelane.llm.asof import nearest_in_time
 from tidelane.llm.components import connected_components
 from tidelane.llm.leakage import leaks, paraphrases
-from tidelane.llm.mixing import allocation, mixture, shares, token_counts
+from tidelane.llm.mixing import mixture, shares, token_counts
 from tidelane.llm.quantiles import percentiles, summaries
 from tidelane.llm.spans import shared_spans
 from tidelane.llm.survivors import claims_of, judged_values, survivors
 from tidelane.llm.topn import top_n
-from tidelane.runtime import read_table, written
+from tidelane.runtime import hot_keys, read_table, salted_join, written
 
 INFRA = "infrastructure_repeat_cat_6m_v20220805"
 
@@ -26,7 +26,9 @@ def infra_pairs(spark: SparkSession, d: str, most_m: float = 50.0) -> DataFrame:
     pairs = read_table(spark, d, "composite_pair_match").select(F.trim("detect_id_a").alias("a"), F.trim("detect_id_b").alias("b"), "distance_m").where("a <> b and (distance_m is null or distance_m <= %r)" % most_m)
     at = F.when(possible_position(F.col("detect_lat"), F.col("detect_lon"), 360.0), F.struct(F.col("detect_lat").alias("lat"), F.col("detect_lon").alias("lon")))
     known = read_table(spark, d, INFRA).where("detect_id is not null").groupBy(F.trim("detect_id").alias("id")).agg(F.max(at).alias("p"))
-    both = pairs.join(known.toDF("a", "pa"), "a").join(known.toDF("b", "pb"), "b")
+    hot = hot_keys(pairs.select(F.explode(F.array("a", "b")).alias("k")), ["k"])
+    both = salted_join(pairs, known.toDF("a", "pa"), ["a"], F.col("b"), hot=hot and hot.toDF("a", "__salts"))
+    both = salted_join(both, known.toDF("b", "pb"), ["b"], F.col("a"), hot=hot and hot.toDF("b", "__salts"))
     far = haversine_m(F.col("pa.lat"), F.col("pa.lon"), F.col("pb.lat"), F.col("pb.lon"))
     return both.where(F.coalesce("distance_m", far) <= most_m).select("a", "b")
 
@@ -39,7 +41,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 NO_SPEED, NO_COURSE = 102.3, 360.0
 
 
-def _extrapolation_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _extrapolation_claims(spark: SparkSession, d: str, by_source: bool) -> tuple[DataFrame, DataFrame]:
+    """Claims of the groups of equal ssvid and scene_id, and source if by_source; a witness is a source's rows of one lateness class."""
     df = read_table(spark, d, "detect_foot_ext_doppler")
 
     def filled(name: str) -> Column:
@@ -52,6 +55,8 @@ def _extrapolation_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataF
         return F.when(known, c)
 
     keys = {"ssvid": F.nullif(F.trim("ssvid"), F.lit("")), "scene_id": F.nullif(F.upper(F.trim("scene_id")), F.lit("")), "source": F.nullif(F.upper(F.trim("source")), F.lit(""))}
+    if not by_source:
+        del keys["source"]
     late = F.log2(1 + F.greatest(F.lit(0.0), (F.unix_micros("loaded_at") - F.unix_micros("extrap_timestamp")) / 3.6e9))
     witness = F.concat_ws("/", F.upper(F.trim("source")), F.coalesce(F.least(F.floor(late), F.lit(10)).cast("string"), F.lit("-")))
     fields = {f: filled(f) for f in ("delta_minutes1", "speed1", "course1", "delta_minutes2", "speed2", "course2")}
@@ -60,20 +65,20 @@ def _extrapolation_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataF
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The rule asks for the newest filled value, so recency outweighs the witnesses' evidence."""
-    claims, groups = _extrapolation_claims(spark, d)
+    claims, groups = _extrapolation_claims(spark, d, True)
     values, _ = judged_values(claims, newest_bonus=100.0)
     return survivors(values).join(groups, "gid").select("ssvid", "scene_id", "source", F.col("field").alias("field_name"), F.col("row_id").alias("ext_id"))
 
 
 def p4_trusted(spark: SparkSession, d: str) -> DataFrame:
-    """Every value judged true on the witnesses' evidence alone."""
-    claims, groups = _extrapolation_claims(spark, d)
+    """For each ssvid and scene_id, every value judged true on the evidence of the sources that claim or deny it."""
+    claims, groups = _extrapolation_claims(spark, d, False)
     values, _ = judged_values(claims)
-    return values.where("p >= 0.5").join(groups, "gid").select("ssvid", "scene_id", "source", F.col("field").alias("field_name"), "value", F.col("row_id").alias("ext_id"))
+    return values.where("p >= 0.5").join(groups, "gid").select("ssvid", "scene_id", F.col("field").alias("field_name"), "value", F.col("row_id").alias("ext_id"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return top_n(read_table(spark, d, "score_mult"), "scene_id", ["detect_id", "ssvid"], "score", 5).select("scene_id", "ssvid", "detect_id")
+    return top_n(read_table(spark, d, "score_mult"), "scene_id", ["detect_id", "ssvid"], "score", 5, keep=True).select("scene_id", "ssvid", "detect_id")
 
 
 def _detections(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +140,8 @@ def _tokens(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFr
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return allocation(_tokens(spark, d), read_table(spark, d, "mix_targets")).where("not reachable").select(F.col("name").alias("source"))
+    """Read off the drawn mixture: what every document gives as often as it may, and that is short of the target."""
+    return shares(*_mixed(spark, d)).where("short").select("source")
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,28 +1,30 @@
 """Evaluation passages inside training texts: latent semantic retrieval, then exact checks.
 
-Texts are cut into overlapping passages of `window` words. Their TF-IDF vectors (words hashed to FEATURES, document
-frequencies over the whole corpus) go through a distributed randomised SVD: each task sends its share of A'(A Omega), a
-matrix of FEATURES x rank whatever its input, and the orthonormal basis of the sum is the latent space. Every passage of
-the corpus is held against every passage of the items there, by one matrix product for each block of passages. Pairs of
-a document and an item are checked at once in the same task; no candidate list is written, and there is no cap on
-candidates.
-
-Check for verbatim leaks: a stretch of min_words or more words that lie against each other in order, of which at most
-one in ten differs. Such a stretch holds at least three runs of ANCHOR equal words in the same alignment (pigeonhole),
-so alignments with fewer are passed over. Anchors are looked up exactly and in all places, so they alone find every
-leak; a short one in a foreign text can have any cosine, which is reported and drops nothing unless least_cosine is
-given. Check for paraphrases: the longest common subsequence of two passages, and
-the share of the item's answer words (words with digits) that the passage holds. The item's passages are taken at every
-word; the share of a passage's words that a text holds bounds the subsequence, is counted for all pairs and rules out
-the rest, so again no cosine is needed.
-
-Items are a stated query set: they go to the tasks in blocks of BLOCK items, each a pass over the corpus.
+Texts are coded as words once. Passages of `fit` words, cut side by side, make a TF-IDF matrix (words hashed to FEATURES,
+document frequencies over the whole corpus) that goes through a distributed randomised SVD: its range is found by
+A'(A Omega) with OVER more columns than the rank, then A'(A Q) is projected on that range and the small matrix
+solved for the leading singular directions. Each task sends its share, FEATURES x (rank + OVER) numbers whatever its
+input.
+
+Candidates are pairs of passages, of a document every few words and of the items at every word, whose cosine in that
+space reaches least_cosine. They come through an index: the items' passages are clustered there (spherical k-means), and
+a document's passage is held against those of the `probes` nearest clusters. Pairs are checked at once in the
+same task; no candidate list is written, and there is no cap on candidates. The index is the one approximate step: a
+pair is missed if no passage of the stretch finds its counterpart's cluster. README states the recall.
+
+Check for verbatim leaks: passages are shorter than min_words, so that a leak holds whole ones. Candidates that
+lie against each other word by word, but for a few words, give an alignment, and along it the longest stretch of
+min_words or more with at most one word in ten exchanged counts. Check for paraphrases: the longest common subsequence
+of the item's passage and the document's, with a stride of words more on either side, and the share of the item's answer
+words (words with digits) that the document's holds.
+
+Items are a stated query set: they go to the tasks in blocks of BLOCK items, each a pass over the coded corpus.
 
 Words are split at white space and compared case-folded and without anything but letters and digits.
 
 Defined results: null ids or texts take no part; texts of no words match nothing; an item under min_words words can't
-leak verbatim; equal documents are each reported; a document is one row for each item; empty tables give an empty
-result; other columns are ignored.
+leak verbatim; for paraphrases an item or document shorter than a passage is one passage; equal documents are each
+reported; a document is one row for each item; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,22 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.runtime import spread_out
+from tidelane.runtime import spread_out, written
 
 FEATURES = 1 << 15
-#: Features to a row of the matrices that tasks send.
-ROWS = 512
-#: Equal words that anchor an alignment.
-ANCHOR = 7
-BLOCK = 10_000
-#: Word positions handled at once.
-SPAN = 8_000
+#: Features to a row of the matrices that tasks send, and columns beyond the rank in the search for the range.
+ROWS, OVER = 512, 8
+BLOCK = 2_000
+#: Words handled at once.
+SPAN = 60_000
 _CUT = re.compile(r"[\W_]+")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_codes(text: str, kept: dict[str, int]) -> np.ndarray:
-    """63-bit codes of a text's words; kept caches them by raw word."""
+    """32-bit codes of a text's words; kept caches them by raw word."""
     if len(kept) > 500_000:
         kept.clear()
     raws = text.split()
@@ -61,192 +60,172 @@ def word_codes(text: str, kept: dict[str, int]) -> np.ndarray:
                 word = raws[k].casefold()
                 if not word.isalnum():
                     word = _CUT.sub("", word)
-                out[k] = kept[raws[k]] = 1 + (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2) if word else 0
-    codes = np.array(out, np.int64)
+                out[k] = kept[raws[k]] = 1 + xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % 0xFFFFFFFF if word else 0
+    codes = np.array(out, np.uint32)
     return codes[codes != 0]
 
 
-class Passages:
-    """Texts' words in one array, and their windows: owner text, first and last place."""
-
-    def __init__(self, words: list[np.ndarray], window: int, stride: int):
-        self.words = words
-        self.all = np.concatenate([*words, np.empty(0, np.int64)])
-        self.offset = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        owner, first = [], []
-        for k, w in enumerate(words):
-            if len(w):
-                starts = np.arange(0, max(1, len(w) - window + 1), stride)
-                if len(w) > window and starts[-1] != len(w) - window:
-                    starts = np.append(starts, len(w) - window)
-                first.append(starts + self.offset[k])
-                owner.append(np.full(len(starts), k))
-        self.owner = np.concatenate([*owner, np.empty(0, np.int64)]).astype(np.int64)
-        self.first = np.concatenate([*first, np.empty(0, np.int64)]).astype(np.int64)
-        self.last = np.minimum(self.first + window, self.offset[self.owner + 1]) if len(self.owner) else self.first
-
-    def pieces(self):
-        """Slices of the windows that span about SPAN places."""
-        i = 0
-        while i < len(self.first):
-            j = int(np.searchsorted(self.first, self.first[i] + SPAN, side="left"))
-            j = max(j, i + 1)
-            yield i, j
-            i = j
-
-    def project(self, i: int, j: int, table: np.ndarray) -> np.ndarray:
-        """Sums of the table's rows over the words of windows i to j."""
-        a, b = self.first[i], self.last[j - 1]
-        cum = np.zeros((b - a + 1, table.shape[1]), np.float32)
-        np.cumsum(table[self.all[a:b] % FEATURES], axis=0, out=cum[1:])
-        return cum[self.last[i:j] - a] - cum[self.first[i:j] - a]
+def coded(docs: DataFrame) -> DataFrame:
+    """(doc, words): the words of every text as codes, written once."""
+
+    def code(batches):
+        kept: dict[str, int] = {}
+        for batch in batches:
+            rows = [word_codes(t, kept).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(rows, pa.binary())], ["doc", "words"])
+
+    rows = spread_out(docs.select("doc", "text").where("doc is not null and text is not null"))
+    return written(rows.mapInArrow(code, f"doc {docs.schema['doc'].dataType.simpleString()}, words binary"), "coded")[0]
+
+
+class Words:
+    """Several texts' words in one array."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.all = np.concatenate([*texts, np.empty(0, np.uint32)])
+        self.offset = np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64)
+
+    @staticmethod
+    def of(batch) -> Words:
+        return Words([np.frombuffer(w.as_buffer(), np.uint32) for w in batch["words"]])
+
+    def passages(self, window: int, stride: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first, behind) of passages at every stride and at the end; texts below a window are one, or none unless short."""
+        size = np.diff(self.offset)
+        n = np.where(size >= window, (size - window + stride - 1) // stride + 1, (size > 0) & short)
+        text = np.repeat(np.arange(len(size)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = self.offset[text] + np.minimum(k * stride, np.maximum(size[text] - window, 0))
+        return text, first, np.minimum(first + window, self.offset[text + 1])
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
     return (z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-12)).astype(np.float32)
 
 
+def latent(words: np.ndarray, first: np.ndarray, behind: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Unit vectors of passages in the latent space: sums of the table's rows. Passages lie in rising order."""
+    if not len(first):
+        return np.zeros((0, table.shape[1]), np.float32)
+    a = first[0]
+    cum = np.zeros((behind.max() - a + 1, table.shape[1]))
+    np.cumsum(table[words[a : a + len(cum) - 1] % FEATURES], axis=0, out=cum[1:])
+    return _unit(cum[behind - a] - cum[first - a])
+
+
 def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """IDF of every hashed word over all documents; docs has text. FEATURES numbers come to the driver."""
+    """IDF of every hashed word over all documents of coded(). FEATURES numbers come to the driver."""
 
     def count(batches):
-        kept: dict[str, int] = {}
         n = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
-            for t in batch["text"].to_pylist():
-                n[np.unique(word_codes(t, kept) % FEATURES)] += 1
-                n[FEATURES] += 1
+            w = Words.of(batch)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(w.offset))
+            n[:FEATURES] += np.bincount(np.unique(text * FEATURES + w.all % FEATURES) % FEATURES, minlength=FEATURES)
+            n[FEATURES] += batch.num_rows
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["f", "n"])
 
     df = np.zeros(FEATURES + 1)
-    for f, n in docs.select("text").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for f, n in docs.select("words").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
         df[f] = n
     return np.log((df[FEATURES] + 1) / (df[:FEATURES] + 1)) + 0.1
 
 
-def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int, window: int, stride: int, seed: int = 3, rounds: int = 1) -> np.ndarray:
-    """(FEATURES, rank) orthonormal basis of the leading right singular space of all passages' TF-IDF, times the IDF."""
+def _gram(docs: DataFrame, idf: np.ndarray, x: np.ndarray, fit: int) -> np.ndarray:
+    """A'(A x), A being the TF-IDF of all passages of `fit` words side by side."""
     spark = docs.sparkSession
-    basis = np.random.default_rng(seed).standard_normal((FEATURES, rank))
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((idf[:, None] * basis).astype(np.float32))
-
-        def share(batches):
-            table, kept = sent.value, {}
-            total = np.zeros((FEATURES, rank), np.float32)
-            for batch in batches:
-                p = Passages([word_codes(t, kept) for t in batch["text"].to_pylist()], window, stride)
-                for i, j in p.pieces():
-                    z = p.project(i, j, table)
-                    a, b = p.first[i], p.last[j - 1]
-                    d = np.zeros((b - a + 1, rank), np.float32)
-                    d[p.first[i:j] - a] += z
-                    d[p.last[i:j] - a] -= z  # no two windows end, or start, at one place
-                    at = np.cumsum(d, axis=0)[:-1]
-                    f = p.all[a:b] % FEATURES
-                    order = np.argsort(f, kind="stable")
-                    f = f[order]
-                    head = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                    total[f[head]] += np.add.reduceat(at[order], head, axis=0)
-            rows = [(k, total[k * ROWS : (k + 1) * ROWS].tobytes()) for k in range(FEATURES // ROWS) if total[k * ROWS : (k + 1) * ROWS].any()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["k", "m"])
-
-        def add(batches):
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for k, m in zip(batch["k"].to_pylist(), batch["m"]):
-                    part = np.frombuffer(m.as_buffer(), np.float32).reshape(ROWS, rank)
-                    sums[k] = sums.get(k, 0) + part.astype(float)
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["k", "m"])
-
-        parts = docs.select("text").mapInArrow(share, "k bigint, m binary").repartition("k").mapInArrow(add, "k bigint, m binary").collect()
-        y = np.zeros((FEATURES, rank))
-        for k, m in parts:
-            y[k * ROWS : (k + 1) * ROWS] = np.frombuffer(m, float).reshape(ROWS, rank)
-        basis, _ = np.linalg.qr(idf[:, None] * y)
-        sent.unpersist()
-    return (idf[:, None] * basis).astype(np.float32)
-
-
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Hash of the ANCHOR words from each place on."""
-    n = max(0, len(codes) - ANCHOR + 1)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(ANCHOR):
-            h = (h ^ codes[k : k + n].astype(np.uint64)) * _STEP
-            h ^= h >> np.uint64(29)
-    return h
+    columns = x.shape[1]
+    sent = spark.sparkContext.broadcast((idf[:, None] * x).astype(np.float32))
+
+    def share(batches):
+        table = sent.value
+        total = np.zeros((FEATURES, columns), np.float32)
+        for batch in batches:
+            w = Words.of(batch)
+            if not len(w.all):
+                continue
+            new = np.zeros(len(w.all), bool)
+            new[w.passages(fit, fit, True)[1]] = True
+            f = (w.all % FEATURES).astype(np.int64)
+            for a in range(0, len(f), SPAN):
+                part = f[a : a + SPAN]
+                head = np.flatnonzero(new[a : a + SPAN])
+                head = head if len(head) and head[0] == 0 else np.concatenate([[0], head])
+                z = np.add.reduceat(table[part], head, axis=0)
+                of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(part))))
+                order = np.argsort(part, kind="stable")
+                f_head = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0]))
+                total[part[order][f_head]] += np.add.reduceat(z[of[order]], f_head, axis=0)
+        rows = [(k, total[k * ROWS : (k + 1) * ROWS].tobytes()) for k in range(FEATURES // ROWS) if total[k * ROWS : (k + 1) * ROWS].any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["k", "m"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, m in zip(batch["k"].to_pylist(), batch["m"]):
+                sums[k] = sums.get(k, 0) + np.frombuffer(m.as_buffer(), np.float32).reshape(ROWS, columns).astype(float)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["k", "m"])
+
+    y = np.zeros((FEATURES, columns))
+    for k, m in docs.select("words").mapInArrow(share, "k bigint, m binary").repartition("k").mapInArrow(add, "k bigint, m binary").collect():
+        y[k * ROWS : (k + 1) * ROWS] = np.frombuffer(m, float).reshape(ROWS, columns)
+    sent.unpersist()
+    return idf[:, None] * y
+
+
+def singular_directions(docs: DataFrame, idf: np.ndarray, rank: int, fit: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, right singular vectors as FEATURES x rank) of the TF-IDF passages, by randomised SVD."""
+    q, _ = np.linalg.qr(_gram(docs, idf, np.random.default_rng(seed).standard_normal((FEATURES, rank + OVER)), fit))
+    inner = q.T @ _gram(docs, idf, q, fit)
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    return np.sqrt(np.maximum(values[::-1][:rank], 0)), q @ turn[:, ::-1][:, :rank]
 
 
 class ItemIndex:
-    """The passages of one block of items in the latent space, and their anchors in order of hash."""
+    """One block of items: their passages at every word, in clusters of the latent space."""
 
-    def __init__(self, ids: list, texts: list[str], table: np.ndarray, window: int, stride: int):
+    def __init__(self, ids: list, texts: list[str], table: np.ndarray, window: int, short: bool, seed: int = 5):
         kept: dict[str, int] = {}
         self.ids = ids
-        self.passages = Passages([word_codes(t, kept) for t in texts], window, stride)
-        digits = {code for raw, code in kept.items() if code and any(c.isdigit() for c in raw)}
-        self.answer = np.array(sorted(digits), np.int64)
-        p = self.passages
-        self.every = Passages(p.words, window, 1)
-        self.every_from = np.searchsorted(self.every.owner, np.arange(len(ids) + 1))
-        self.vocabulary, self.word = np.unique(p.all, return_inverse=True)
-        self.latent = _unit(np.concatenate([p.project(i, j, table) for i, j in p.pieces()] + [np.zeros((0, table.shape[1]))]))
-        grams = [_grams(w) for w in p.words]
-        item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams] + [np.empty(0, int)])
-        hashes = np.concatenate(grams + [np.empty(0, np.uint64)])
-        order = np.argsort(hashes, kind="stable")
-        self.hash, self.item, self.place = hashes[order], item[order], place[order]
-        # for the maximum by item: rows hold all first windows, then all second ones, ..., the items with most windows first
-        self.heads = np.searchsorted(p.owner, np.arange(len(ids)))
-        count = np.diff(np.append(self.heads, len(p.owner)))
-        self.some = np.argsort(-count, kind="stable")[: int((count > 0).sum())]
-        self.layers = [int((count > w).sum()) for w in range(int(count.max(initial=0)))]
-        self.latent = self.latent[np.concatenate([self.heads[self.some[:n]] + w for w, n in enumerate(self.layers)] + [np.empty(0, int)])]
-
-    def best(self, z: np.ndarray) -> np.ndarray:
-        """Largest cosine of each row of z with any passage of each item of `some`: (items, rows)."""
-        cos = self.latent @ z.T
-        out = cos[: self.layers[0]]
-        at = self.layers[0]
-        for n in self.layers[1:]:
-            np.maximum(out[:n], cos[at : at + n], out=out[:n])
-            at += n
-        return out
-
-    def held(self, words: np.ndarray) -> np.ndarray:
-        """Share of the words of each passage in `every` that are among the given ones; no common subsequence is longer."""
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        known = np.zeros(len(self.vocabulary), np.int8)
-        known[at[self.vocabulary[at] == words]] = 1
-        cum = np.concatenate([[0], np.cumsum(known[self.word], dtype=np.int32)])
-        q = self.every
-        return (cum[q.last] - cum[q.first]) / (q.last - q.first)
-
-    def hits(self, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, shift), in order of text, of the alignments that share three anchors or more."""
-        g = _grams(p.all)
-        text = np.searchsorted(p.offset, np.arange(len(g)), side="right") - 1
-        whole = np.arange(len(g)) + ANCHOR <= p.offset[text + 1]
-        at = np.flatnonzero(whole)
-        lo, hi = np.searchsorted(self.hash, g[at]), np.searchsorted(self.hash, g[at], side="right")
-        n = hi - lo
-        some = n > 0
-        at, lo, n = at[some], lo[some], n[some]
-        k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, int)
-        at = np.repeat(at, n)
-        text, item = text[at], self.item[k]
-        shift = at - p.offset[text] - self.place[k]
-        order = np.lexsort((shift, item, text))
-        text, item, shift = text[order], item[order], shift[order]
-        head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])])) if len(order) else np.empty(0, int)
-        head = head[np.diff([*head, len(order)]) >= 3]
-        return text[head], item[head], shift[head]
+        self.words = Words([word_codes(t, kept) for t in texts])
+        self.answer = np.array(sorted(code for raw, code in kept.items() if code and any(c.isdigit() for c in raw)), np.uint32)
+        self.item, self.first, self.behind = self.words.passages(window, 1, short)
+        z = latent(self.words.all, self.first, self.behind, table)
+        # as many clusters as cost a search the same as the passages of a few of them
+        clusters = max(1, min(len(z), int(2 * np.sqrt(len(z)))))
+        self.centre = z[np.sort(np.random.default_rng(seed).choice(len(z), clusters, replace=False))] if len(z) else z
+        nearest = lambda: np.concatenate([np.argmax(z[a : a + 8192] @ self.centre.T, axis=1) for a in range(0, len(z), 8192)] + [np.empty(0, int)])
+        for _ in range(5):
+            of = nearest()
+            order = np.argsort(of, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) > 0])) if len(z) else order
+            if len(z):
+                self.centre[of[order][head]] = _unit(np.add.reduceat(z[order], head, axis=0))
+        of = nearest().astype(int)
+        order = np.argsort(of, kind="stable")
+        self.item, self.first, self.behind, self.z = self.item[order], self.first[order], self.behind[order], z[order]
+        self.bounds = np.searchsorted(of[order], np.arange(len(self.centre) + 1))
+
+    def near(self, z: np.ndarray, probes: int, least: float):
+        """(row of z, passage, cosine) of the pairs that reach the cosine, among the passages of each row's nearest clusters."""
+        probes = min(probes, len(self.centre))
+        cos = z @ self.centre.T
+        top = np.argpartition(cos, -probes, axis=1)[:, -probes:] if probes < cos.shape[1] else np.broadcast_to(np.arange(probes), cos.shape)
+        of = top.ravel()
+        row = np.repeat(np.arange(len(z)), probes)
+        order = np.argsort(of, kind="stable")
+        of, row = of[order], row[order]
+        head = np.flatnonzero(np.concatenate([[True], np.diff(of) > 0])) if len(of) else of
+        for a, b in zip(head, np.append(head[1:], len(of))):
+            low, high = self.bounds[of[a]], self.bounds[of[a] + 1]
+            c = z[row[a:b]] @ self.z[low:high].T
+            hit = np.flatnonzero(c.ravel() >= least)
+            if len(hit):
+                r, m = np.divmod(hit, high - low)
+                yield row[a:b][r], low + m, c.ravel()[hit]
 
 
 def longest_stretch(a: np.ndarray, b: np.ndarray, shift: int, min_words: int, exchanged: float) -> tuple[int, int]:
@@ -277,124 +256,143 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 32, stride: int = 16, rank: int = 64, least_cosine: float = -np.inf) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 18, stride: int = 4, rank: int = 64, least_cosine: float = 0.8, probes: int = 8, fit: int = 32) -> DataFrame:
     """(doc, item, words, first_word, cosine): documents that hold a stretch of an item. docs: doc, text; items: item, text."""
-    return _search(docs, items, window, stride, rank, least_cosine, _Verbatim(min_words, exchanged), "words bigint, first_word bigint, cosine double")
+    return _search(docs, items, _Verbatim(min_words, exchanged, window), window, stride, rank, least_cosine, probes, fit)
 
 
-def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 16, rank: int = 64, least_cosine: float = -np.inf, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
+def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 8, rank: int = 64, least_cosine: float = 0.6, probes: int = 8, fit: int = 32, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
     """(doc, item, common, answers, cosine): documents with a passage close to one of an item; common is the share of its words in the longest common subsequence, answers that of its words with digits."""
-    return _search(docs, items, window, stride, rank, least_cosine, _Reworded(least_common, least_answer), "common double, answers double, cosine double")
+    return _search(docs, items, _Reworded(least_common, least_answer, stride), window, stride, rank, least_cosine, probes, fit)
 
 
-def _search(docs, items, window, stride, rank, least_cosine, check, columns):
+def _search(docs, items, check, window, stride, rank, least_cosine, probes, fit):
     spark = docs.sparkSession
-    docs = spread_out(docs.where("doc is not null and text is not null"))
+    docs = coded(docs)
     idf = inverse_frequency(docs)
-    table = latent_basis(docs, idf, rank, window, stride)
+    table = (idf[:, None] * singular_directions(docs, idf, rank, fit)[1]).astype(np.float32)
     sent = spark.sparkContext.broadcast(table)
     d, i = docs.schema["doc"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
-    schema = f"doc {d}, item {i}, {columns}"
+    schema = f"doc {d}, item {i}, {check.columns}"
     out, block = None, []
 
-    def search(index):
-        kept_index = spark.sparkContext.broadcast(index)
-        return docs.mapInArrow(lambda it: _candidates(it, sent.value, kept_index.value, window, stride, least_cosine, check, schema), schema)
+    def search():
+        kept_index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in block], [r[1] for r in block], table, window, check.short))
+        return docs.mapInArrow(lambda it: _candidates(it, sent.value, kept_index.value, window, stride, least_cosine, probes, check, schema), schema)
 
     for row in items.where("item is not null and text is not null").select("item", "text").toLocalIterator():
         block.append(row)
         if len(block) == BLOCK:
-            part = search(ItemIndex([r[0] for r in block], [r[1] for r in block], table, window, stride))
+            part = search()
             out, block = part if out is None else out.unionByName(part), []
     if block or out is None:
-        part = search(ItemIndex([r[0] for r in block], [r[1] for r in block], table, window, stride))
+        part = search()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine, check, schema):
-    kept: dict[str, int] = {}
-    if not len(index.latent):
-        return
+def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine, probes, check, schema):
     names = [c.split()[0] for c in schema.split(", ")]
+    if not len(index.z):
+        return
     for batch in batches:
-        ids = batch["doc"].to_pylist()
-        p = Passages([word_codes(t, kept) for t in batch["text"].to_pylist()], window, stride)
-        rows: list[tuple] = []
-        held: tuple[int, np.ndarray] | None = None
-        hits = check.hits(p, index) if hasattr(check, "hits") else None
-        for i, j in p.pieces():
-            best = index.best(_unit(p.project(i, j, table)))
-            owner = p.owner[i:j]
-            head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            by_doc = np.maximum.reduceat(best, head, axis=1).T
-            for n, k in enumerate(owner[head]):
-                if held is not None and held[0] == k:
-                    held = (k, np.maximum(held[1], by_doc[n]))  # a long text goes on
-                    continue
-                if held is not None:
-                    rows += [(ids[held[0]], *r) for r in check(p, *held, index, least_cosine, hits)]
-                held = (k, by_doc[n])
-        if held is not None:
-            rows += [(ids[held[0]], *r) for r in check(p, *held, index, least_cosine, hits)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+        words = Words.of(batch)
+        text, first, behind = words.passages(window, stride, check.short)
+        found: list[tuple] = []
+        at = 0
+        while at < len(first):
+            end = max(at + 1, int(np.searchsorted(first, first[at] + SPAN)))
+            z = latent(words.all, first[at:end], behind[at:end], table)
+            for row, passage, cosine in index.near(z, probes, least_cosine):
+                kept = check.keep(words, first[at:end][row], behind[at:end][row], text[at:end][row], index, passage)
+                if len(kept[0]):
+                    pick = kept[0]
+                    found.append((text[at:end][row[pick]], index.item[passage[pick]], cosine[pick], *kept[1:]))
+            at = end
+        if found:
+            columns = check.rows(words, index, *(np.concatenate(c) for c in zip(*found)))
+            if len(columns[0]):
+                doc = batch["doc"].take(pa.array(columns[0]))
+                item = pa.array([index.ids[k] for k in columns[1].tolist()])
+                yield pa.RecordBatch.from_arrays([doc, item, *(pa.array(c) for c in columns[2:])], names)
 
 
 class _Verbatim:
-    """Rows of one text for verbatim leaks; row has the best cosine with each item that has words."""
-
-    def __init__(self, min_words: int, exchanged: float):
-        self.min_words, self.exchanged = min_words, exchanged
-
-    def hits(self, p: Passages, index: ItemIndex):
-        return index.hits(p)
-
-    def __call__(self, p, k, row, index, least_cosine, hits):
-        text, item, shift = hits
-        a, b = np.searchsorted(text, [k, k + 1])
-        if a == b:
-            return []
-        cosine = np.zeros(len(index.ids))
-        cosine[index.some] = row
-        best: dict[int, tuple[int, int]] = {}
-        for i, sh in zip(item[a:b].tolist(), shift[a:b].tolist()):
-            if cosine[i] >= least_cosine:
-                found = longest_stretch(p.words[k], index.passages.words[i], sh, self.min_words, self.exchanged)
-                if found[0] > best.get(i, (0, 0))[0]:
-                    best[i] = found
-        return [(index.ids[i], n, at, float(cosine[i])) for i, (n, at) in best.items()]
+    """Alignments word by word, and the longest stretch along each."""
+
+    columns, short = "words bigint, first_word bigint, cosine double", False
+    #: Words that may differ in a passage. In a stretch with one in ten exchanged, some passage has no more.
+    DIFFER = 3
+
+    def __init__(self, min_words: int, exchanged: float, window: int):
+        self.min_words, self.exchanged, self.window = min_words, exchanged, window
+
+    def keep(self, words: Words, first, behind, text, index: ItemIndex, passage):
+        """Places of the pairs that lie against each other, and how far the document's place is ahead of the item's."""
+        a, b = first, index.first[passage]
+        open_, differ = np.arange(len(a)), np.zeros(len(a), np.int8)
+        for k in range(self.window):
+            differ += words.all[a + k] != index.words.all[b + k]
+            if k >= self.DIFFER:
+                on = differ <= self.DIFFER
+                open_, a, b, differ = open_[on], a[on], b[on], differ[on]
+                if not len(open_):
+                    break
+        text, item = text[open_], index.item[passage[open_]]
+        return open_, (a - words.offset[text]) - (b - index.words.offset[item])
+
+    def rows(self, words: Words, index: ItemIndex, text, item, cosine, shift):
+        order = np.lexsort((-cosine, shift, item, text))
+        text, item, cosine, shift = text[order], item[order], cosine[order], shift[order]
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(shift) != 0)]))
+        best: dict[tuple[int, int], tuple] = {}
+        for k in head.tolist():
+            t, i = int(text[k]), int(item[k])
+            a, b = words.all[words.offset[t] : words.offset[t + 1]], index.words.all[index.words.offset[i] : index.words.offset[i + 1]]
+            n, at = longest_stretch(a, b, int(shift[k]), self.min_words, self.exchanged)
+            if n > best.get((t, i), (0,))[0]:
+                best[t, i] = (n, at, float(cosine[k]))
+        pairs = np.array(list(best), np.int64).reshape(-1, 2)
+        values = list(best.values())
+        return pairs[:, 0], pairs[:, 1], np.array([v[0] for v in values], np.int64), np.array([v[1] for v in values], np.int64), np.array([v[2] for v in values])
 
 
 class _Reworded:
-    """Rows of one text for paraphrases."""
-
-    def __init__(self, least_common: float, least_answer: float):
-        self.least_common, self.least_answer = least_common, least_answer
-
-    def __call__(self, p, k, row, index, least_cosine, hits):
-        out = []
-        words, q = p.words[k], index.every
-        held = index.held(words)
-        near = np.flatnonzero(held >= self.least_common)
-        cosine = np.full(len(index.ids), -np.inf)
-        cosine[index.some] = row
-        for item in np.unique(q.owner[near]).tolist():
-            if cosine[item] < least_cosine:
-                continue
-            best = (0.0, 0.0)
-            a, b = np.searchsorted(near, index.every_from[item : item + 2])
-            for w in sorted(near[a:b].tolist(), key=lambda w: -held[w]):
-                if held[w] < best[0]:
-                    break
-                passage = q.all[q.first[w] : q.last[w]]
-                here, known = np.isin(passage, words), np.isin(passage, index.answer)
-                answers = float(here[known].mean()) if known.any() else 1.0
-                if answers < self.least_answer:
+    """Longest common subsequence of the two passages, and the answer words."""
+
+    columns, short = "common double, answers double, cosine double", True
+
+    def __init__(self, least_common: float, least_answer: float, margin: int):
+        self.least_common, self.least_answer, self.margin = least_common, least_answer, margin
+
+    def keep(self, words: Words, first, behind, text, index: ItemIndex, passage):
+        """Places of the pairs that qualify, their common share and share of answers. Each item passage is marked in the words of its cluster once, so that the words held bound the subsequence before it is computed."""
+        out, common, answers = [], [], []
+        order = np.argsort(first, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+            k = int(part[0])
+            t = text[k]
+            mine = words.all[max(words.offset[t], first[k] - self.margin) : min(words.offset[t + 1], behind[k] + self.margin)]
+            p = passage[part]
+            size = index.behind[p] - index.first[p]
+            width = int(size.max())
+            place = np.minimum(index.first[p][:, None] + np.arange(width), index.behind[p][:, None] - 1)
+            real = np.arange(width) < size[:, None]
+            theirs = index.words.all[place]
+            here = np.isin(theirs, mine) & real
+            for j in np.flatnonzero(here.sum(axis=1) >= self.least_common * size).tolist():
+                known = np.isin(theirs[j], index.answer) & real[j]
+                share = float(here[j][known].mean()) if known.any() else 1.0
+                if share < self.least_answer:
                     continue
-                common = common_subsequence(passage, words) / len(passage)
-                if common >= self.least_common:
-                    best = max(best, (common, answers))
-            if best[0]:
-                out.append((index.ids[item], round(best[0], 6), round(best[1], 6), float(cosine[item])))
-        return out
+                c = common_subsequence(theirs[j][: size[j]], mine) / int(size[j])
+                if c >= self.least_common:
+                    out.append(part[j])
+                    common.append(c)
+                    answers.append(share)
+        return np.array(out, np.int64), np.array(common), np.array(answers)
+
+    def rows(self, words: Words, index: ItemIndex, text, item, cosine, common, answers):
+        order = np.lexsort((-answers, -common, item, text))
+        head = order[np.concatenate([[True], (np.diff(text[order]) != 0) | (np.diff(item[order]) != 0)])]
+        return text[head], item[head], np.round(common[head], 6), np.round(answers[head], 6), cosine[head].astype(float)

@@ -172,4 +172,54 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_trusted, p5_found, p6_found, p7_found, p7_percentiles, p8_found, p8_items, p8_paraphrases, p9_found, p9_mixture, p9_shares, p10_found, p10_shares)}
 
-SQL: dict[str, str] = {}
+_FIELDS = {"delta_minutes1": "", "speed1": "and speed1 < 102.3", "course1": "and course1 < 360", "delta_minutes2": "", "speed2": "and speed2 < 102.3", "course2": "and course2 < 360"}
+
+SQL: dict[str, str] = {
+    "p2_found": """
+with recursive known as (
+  select trim(detect_id) as id, max(case when abs(detect_lat) <= 90 and detect_lon between -180 and 360 then {'lat': detect_lat, 'lon': detect_lon} end) as p
+  from infrastructure_repeat_cat_6m_v20220805 where detect_id is not null group by 1),
+pairs as (
+  select x.id as a, y.id as b from composite_pair_match m join known x on x.id = trim(m.detect_id_a) join known y on y.id = trim(m.detect_id_b)
+  where x.id <> y.id and coalesce(m.distance_m, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(y.p.lat - x.p.lat) / 2), 2)
+    + cos(radians(x.p.lat)) * cos(radians(y.p.lat)) * pow(sin(radians(y.p.lon - x.p.lon) / 2), 2))))) <= 50),
+links as (select a, b from pairs union select b, a from pairs),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select a as detect_id, least(a, min(b)) as group_id from reach group by a
+""",
+    "p4_found": "with r as (select ext_id, loaded_at, nullif(trim(ssvid), '') as ssvid, nullif(upper(trim(scene_id)), '') as scene_id, nullif(upper(trim(source)), '') as source, "
+    + ", ".join(_FIELDS)
+    + """ from detect_foot_ext_doppler where ext_id is not null),
+g as (select *, count(*) over (partition by ssvid, scene_id, source) as n from r where ssvid is not null and scene_id is not null and source is not null),
+f as ("""
+    + " union all ".join(f"select ssvid, scene_id, source, '{f}' as field_name, ext_id, loaded_at from g where n > 1 and {f} is not null and not isnan({f}) {more}" for f, more in _FIELDS.items())
+    + """)
+select ssvid, scene_id, source, field_name, ext_id from (
+  select *, row_number() over (partition by ssvid, scene_id, source, field_name order by loaded_at desc nulls last, ext_id) as k from f) where k = 1""",
+    "p5_found": """
+with b as (select scene_id, ssvid, detect_id, max(score) as s from score_mult
+  where scene_id is not null and ssvid is not null and detect_id is not null and score is not null and not isnan(score) group by 1, 2, 3)
+select scene_id, ssvid, detect_id from (select *, row_number() over (partition by scene_id order by s desc, detect_id, ssvid) as k from b) where k <= 5
+""",
+    "p6_found": """
+with l as (select detect_id, t, entity from (
+    select detect_id, epoch_us(detect_timestamp) as t, nullif(trim(ssvid), '') as entity,
+           row_number() over (partition by detect_id order by loaded_at desc nulls last, detect_timestamp desc nulls last, nullif(trim(ssvid), '') desc nulls last) as k
+    from detect_scene_match where detect_id is not null) where k = 1 and entity is not null and t is not null),
+r as (select ext_id, epoch_us(extrap_timestamp) as t, nullif(trim(ssvid), '') as entity from detect_foot_ext_doppler where ext_id is not null and extrap_timestamp is not null)
+select detect_id, ext_id from (
+  select l.detect_id, r.ext_id, row_number() over (partition by l.detect_id order by abs(l.t - r.t), r.ext_id) as k
+  from l join r on l.entity = r.entity and r.t between l.t - 600000000 and l.t + 600000000) where k = 1
+""",
+    "p7_found": """
+with r as (select * from (
+    select *, row_number() over (partition by id order by loaded_at desc nulls last, midpoint desc nulls last, iso_ter1[1] desc nulls last, length_m desc nulls last, presence desc nulls last) as k
+    from infrastructure_repeat_cat_6m_v20220805 where id is not null) where k = 1 and midpoint is not null),
+v as (
+  select strftime(midpoint, '%Y-%m-%d') as midpoint, coalesce(nullif(trim(iso_ter1[1]), ''), 'None') as iso3, 'length_m' as metric, length_m as x from r where length_m between 1 and 600
+  union all
+  select strftime(midpoint, '%Y-%m-%d'), coalesce(nullif(trim(iso_ter1[1]), ''), 'None'), 'presence', presence from r where presence between 0 and 1)
+select midpoint, iso3, metric from v where not isnan(x) group by 1, 2, 3
+having count(*) >= 20 and ((metric = 'length_m' and quantile_cont(x, 0.5) >= 120) or (metric = 'presence' and quantile_cont(x, 0.9) < 0.7))
+""",
+}

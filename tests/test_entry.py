@@ -47,3 +47,10 @@ def test_entry(spark):
 def test_core_stands_without_the_subpackage():
     code = "import sys, pkgutil, importlib; sys.modules['tidelane.llm'] = None; import tidelane, __spark_entry__ as e; [importlib.import_module(m.name) for m in pkgutil.walk_packages(tidelane.__path__, 'tidelane.') if not m.name.startswith('tidelane.llm')]; assert 'p1_found' in e.queries() and 'p2_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{REPO}/tidelane/llm"), reason="the subpackage is absent")
+def test_a_missing_library_hides_no_queries():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    r = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True)
+    assert r.returncode and "xxhash" in r.stderr

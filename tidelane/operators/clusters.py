@@ -31,6 +31,8 @@ def labelled(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         left, path = new, new_path
         if left.isEmpty():
             break
+    else:
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
     discard(spark, path)
     end = steps[-1]
     for step in steps[-2::-1]:

@@ -1,7 +1,7 @@
 """Domain tables the queries share, as DataFrames and, for the oracle, as SQL common table expressions of the same name.
 
 det: the latest version of each detection with a possible position (longitude in [-180, 180)), with derived attributes.
-ping: one row for each segment and instant. vessel: attributes of a vessel by its number. foot: one row for each scene.
+ping: one row for each segment and instant. vessel: attributes of a vessel by its number.
 infra: each structure once. pred: model outputs of a detection. Attributes no table has are integer functions of the
 columns, so both engines see the same rows.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.bins import scene_time
 from tidelane.functions.geo import possible_position, wrap_lon
 from tidelane.runtime import read_table
 
@@ -99,22 +98,6 @@ def overpass(spark: SparkSession, d: str) -> DataFrame:
 OVERPASS = """overpass as (select distinct lat_index, lon_index, (abs(lat_index) * 31 + abs(lon_index) * 17) % 120 as overpasses from det)"""
 
 
-def foot(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each scene with detections: times from its id, the box of its detections, and a straight satellite track beside it."""
-    g = det(spark, d).where("scene_id is not null").groupBy("scene_id").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.count(F.lit(1)).alias("detections"))
-    g = g.withColumns({"start_time": scene_time(F.col("scene_id"), 1), "end_time": scene_time(F.col("scene_id"), 2)}).where("start_time is not null and end_time > start_time and lon1 - lon0 < 20")
-    return g.select("*", (F.col("lat0") - 0.1).alias("sat_lat0"), (F.col("lon1") + 4.0).alias("sat_lon0"), (F.col("lat0") + 1.4).alias("sat_lat1"), (F.col("lon1") + 3.7).alias("sat_lon1"), F.lit(700000.0).alias("altitude_m"))
-
-
-FOOT = """foot as (
-  select *, lat0 - 0.1::double as sat_lat0, lon1 + 4.0::double as sat_lon0, lat0 + 1.4::double as sat_lat1, lon1 + 3.7::double as sat_lon1, 700000.0::double as altitude_m
-  from (select scene_id, min(lat) as lat0, max(lat) as lat1, min(lon) as lon0, max(lon) as lon1, count(*) as detections,
-               try_strptime(nullif(regexp_extract(scene_id, '_(\\d{8}T\\d{6})_(\\d{8}T\\d{6})_', 1), ''), '%Y%m%dT%H%M%S') as start_time,
-               try_strptime(nullif(regexp_extract(scene_id, '_(\\d{8}T\\d{6})_(\\d{8}T\\d{6})_', 2), ''), '%Y%m%dT%H%M%S') as end_time
-        from det where scene_id is not null group by scene_id)
-  where start_time is not null and end_time > start_time and lon1 - lon0 < 20)"""
-
-
 def sight(spark: SparkSession, d: str) -> DataFrame:
     """Detections that follow a segment's first ping of each day after seven minutes, a little off its place."""
     first = ping(spark, d).groupBy("seg_id", F.to_date("ts").alias("day")).agg(F.min(F.struct("ts", "lat", "lon")).alias("v")).select("seg_id", "day", "v.*")

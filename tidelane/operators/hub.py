@@ -39,19 +39,33 @@ def ensemble(pred: DataFrame) -> DataFrame:
     return pred.groupBy("detect_id").agg(F.avg("fishing_33").alias("fishing_low"), F.avg("fishing_50").alias("fishing"), F.avg("fishing_66").alias("fishing_high"))
 
 
-def quality_filter(hub: DataFrame, least_overpasses: int = 30, most_repeats: int = 3) -> DataFrame:
-    """Keeps detections that are few at their place, from good or nearly empty scenes, in well-imaged cells, likely real and free of ice."""
+def close_to(det: DataFrame, structures: DataFrame, radius_m: float = 200.0) -> DataFrame:
+    """(detect_id) of detections with a structure (lat, lon) within the radius."""
+    return distance_join(det.select("detect_id", "lat", "lon"), structures.select("lat", "lon").distinct(), radius_m, inclusive=False).select("detect_id").distinct()
+
+
+def potential_ambiguities(candidates: DataFrame, most_m: float = 200.0) -> DataFrame:
+    """(detect_id) of candidates (detect_id, line_dist, ambiguity_length, source_length) near the line of a longer source."""
+    return candidates.where((F.col("line_dist") < most_m) & (F.col("ambiguity_length") < F.col("source_length"))).select("detect_id").distinct()
+
+
+def quality_filter(hub: DataFrame, least_overpasses: int = 30, most_repeats: int = 3, first: str = "2017-01-01", last: str = "2021-12-31") -> DataFrame:
+    """Keeps detections of the period that are few at their place, from good or nearly empty scenes, in well-imaged cells, likely real, free of ice, and neither on a road, nor at a structure, nor a likely ambiguity."""
     few = (F.col("repeats_forward") < most_repeats) & (F.col("repeats_back") < most_repeats) & (F.col("repeats_center") < most_repeats)
     good = (F.col("scene_detections") <= 5) | (F.col("scene_quality") > 0.5)
-    return hub.where(few & good & (F.col("overpasses") > least_overpasses) & (F.col("presence") > 0.7) & free_of_ice(F.col("lon"), F.col("lat")))
+    real = ~F.col("in_road") & ~F.col("close_to_infra") & ~F.col("potential_ambiguity")
+    within = F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return hub.where(few & good & within & (F.col("overpasses") > least_overpasses) & (F.col("presence") > 0.7) & real & free_of_ice(F.col("lon"), F.col("lat")))
 
 
-def hub_table(det: DataFrame, overpass: DataFrame) -> DataFrame:
-    """det with repeats, scene quality and overpasses of its cell."""
-    return (
-        det.join(repeats(det), "detect_id").join(scene_quality(det), "scene_id", "left")
-        .join(overpass, ["lat_index", "lon_index"], "left")
+def hub_table(det: DataFrame, cells: DataFrame, structures: DataFrame, ambiguities: DataFrame) -> DataFrame:
+    """det with repeats, scene quality, what is known of its cell (overpasses, years with an overpass, depth, distance to shore, in_road) and the flags close_to_infra and potential_ambiguity."""
+    flag = lambda df, name: df.withColumn(name, F.lit(True))
+    out = (
+        det.join(repeats(det), "detect_id").join(scene_quality(det), "scene_id", "left").join(cells, ["lat_index", "lon_index"], "left")
+        .join(flag(close_to(det, structures), "close_to_infra"), "detect_id", "left").join(flag(potential_ambiguities(ambiguities), "potential_ambiguity"), "detect_id", "left")
     )
+    return out.fillna(False, ["in_road", "close_to_infra", "potential_ambiguity"])
 
 
 def classify(hub: DataFrame, vessel: DataFrame, pred: DataFrame) -> DataFrame:

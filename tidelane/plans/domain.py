@@ -90,12 +90,26 @@ PRED = """pred as (
 
 
 def overpass(spark: SparkSession, d: str) -> DataFrame:
-    """Overpasses of each cell (20 to a degree) that holds a detection."""
+    """What is known of each cell (20 to a degree) that holds a detection: overpasses, years with one, depth, distance to shore, and whether it lies on a road of ships."""
     cells = det(spark, d).select("lat_index", "lon_index").distinct()
-    return cells.withColumn("overpasses", (F.abs("lat_index") * 31 + F.abs("lon_index") * 17) % 120)
+    a, o = F.abs("lat_index"), F.abs("lon_index")
+    return cells.withColumns({
+        "overpasses": (a * 31 + o * 17) % 120, "years_with_overpass": (a + o) % 6, "depth_m": (a * 131 + o * 71) % 5000, "shore_km": (a * 57 + o * 29) % 400, "in_road": (a * 7 + o * 13) % 19 == 0,
+    })
 
 
-OVERPASS = """overpass as (select distinct lat_index, lon_index, (abs(lat_index) * 31 + abs(lon_index) * 17) % 120 as overpasses from det)"""
+OVERPASS = """overpass as (select *, (a * 31 + o * 17) % 120 as overpasses, (a + o) % 6 as years_with_overpass, (a * 131 + o * 71) % 5000 as depth_m, (a * 57 + o * 29) % 400 as shore_km, (a * 7 + o * 13) % 19 = 0 as in_road
+  from (select distinct lat_index, lon_index, abs(lat_index) as a, abs(lon_index) as o from det))"""
+
+
+def ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates for azimuth ambiguities: a detection, how far it lies off the line of a source, and both lengths."""
+    x = det(spark, d).where("length_m is not null").withColumn("n", F.floor(F.col("length_m") * 10).cast("bigint"))
+    return x.where("n % 3 = 0").select("detect_id", (F.col("n") * 53 % 1000).alias("line_dist"), F.col("length_m").alias("ambiguity_length"), (F.col("n") * 7 % 300).alias("source_length"))
+
+
+AMBIGUITY = """amb as (select detect_id, n * 53 % 1000 as line_dist, length_m as ambiguity_length, n * 7 % 300 as source_length
+  from (select *, cast(floor(length_m * 10) as bigint) as n from det where length_m is not null) where n % 3 = 0)"""
 
 
 def sight(spark: SparkSession, d: str) -> DataFrame:

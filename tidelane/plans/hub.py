@@ -35,18 +35,22 @@ REPEATS = f"""rep as (
             on a.band = b.band and a.detect_id <> b.detect_id and {D.hav_sql('a', 'b')} < 100) a
     group by 1) c on d.detect_id = c.detect_id)"""
 QUALITY = "qual as (select scene_id, count(*) as scene_detections, 1 - avg(case when presence < 0.7 or presence is null then 1.0 else 0.0 end) as scene_quality from det group by 1)"
-HUB = """hub as (
-  select d.*, repeats_center, repeats_forward, repeats_back, scene_detections, scene_quality, overpasses
+HUB = f"""near_infra as (
+  select distinct a.detect_id from (select *, floor(lat * 200) as band from det) a
+  join (select *, floor(lat * 200) + o as band from infra, (values (-1), (0), (1)) as s(o)) b on a.band = b.band and {D.hav_sql('a', 'b')} < 200),
+hub as (
+  select d.*, repeats_center, repeats_forward, repeats_back, scene_detections, scene_quality, overpasses, years_with_overpass, depth_m, shore_km, coalesce(in_road, false) as in_road,
+         d.detect_id in (select detect_id from near_infra) as close_to_infra, d.detect_id in (select detect_id from amb where line_dist < 200 and ambiguity_length < source_length) as potential_ambiguity
   from det d join rep using (detect_id) left join qual q on d.scene_id = q.scene_id left join overpass o on d.lat_index = o.lat_index and d.lon_index = o.lon_index)"""
 KEPT = f"""kept as (select * from hub where repeats_forward < 3 and repeats_back < 3 and repeats_center < 3 and (scene_detections <= 5 or scene_quality > 0.5)
-  and overpasses > 30 and presence > 0.7 and {ice_sql()})"""
+  and day between date '2017-01-01' and date '2021-12-31' and overpasses > 30 and presence > 0.7 and not in_road and not close_to_infra and not potential_ambiguity and {ice_sql()})"""
 CLASSES = """cls as (
   select k.*, on_fishing_list, fishing, fishing_low, fishing_high,
          case when score > 7.4e-6::double and on_fishing_list then 'matched_fishing' when score > 7.4e-6::double and not on_fishing_list then 'matched_nonfishing'
               when score > 7.4e-6::double and on_fishing_list is null then 'matched_unknown' when score < 7.4e-6::double then 'unmatched' end as matched_category
   from kept k left join vessel v on k.ssvid = v.ssvid
   left join (select detect_id, avg(fishing_33) as fishing_low, avg(fishing_50) as fishing, avg(fishing_66) as fishing_high from pred group by 1) p on k.detect_id = p.detect_id)"""
-ALL = D.with_sql(D.DET, D.VESSEL, D.PRED, D.OVERPASS, REPEATS, QUALITY, HUB, KEPT, CLASSES)
+ALL = D.with_sql(D.DET, D.VESSEL, D.PRED, D.OVERPASS, D.INFRA_SQL, D.AMBIGUITY, REPEATS, QUALITY, HUB, KEPT, CLASSES)
 
 
 def _fields_sql() -> str:
@@ -66,7 +70,7 @@ FIELD_NAMES = [*H.CATEGORIES, *[f"{a}{e}" for e in ("", "_low", "_high") for a i
 
 
 def _hub(spark: SparkSession, d: str) -> DataFrame:
-    return H.hub_table(D.det(spark, d), D.overpass(spark, d))
+    return H.hub_table(D.det(spark, d), D.overpass(spark, d), D.infra(spark, d), D.ambiguity(spark, d))
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
@@ -97,17 +101,18 @@ def j6_repeated_objects(spark: SparkSession, d: str) -> DataFrame:
     return H.repeats(D.det(spark, d))
 
 
-@query(D.with_sql(D.DET, D.OVERPASS, REPEATS, QUALITY, HUB) + """select detect_id, scene_id, iso3, repeats_center, repeats_forward, repeats_back, scene_detections, round(scene_quality, 6) as scene_quality, overpasses,
+@query(D.with_sql(D.DET, D.OVERPASS, D.INFRA_SQL, D.AMBIGUITY, REPEATS, QUALITY, HUB) + """select detect_id, scene_id, iso3, repeats_center, repeats_forward, repeats_back, scene_detections, round(scene_quality, 6) as scene_quality, overpasses, years_with_overpass, depth_m, shore_km, in_road, close_to_infra, potential_ambiguity,
   cast(date '2017-01-01' + cast(floor((day - date '2017-01-01') / 24.0) * 24 as integer) as date) as date_24,
   cast(extract(year from ts) * 10 + floor(extract(doy from ts) / 366.5 * 4) as bigint) as pseudo_quarter from hub""")
 def d17_hub_table(spark: SparkSession, d: str) -> DataFrame:
     return _hub(spark, d).select(
         "detect_id", "scene_id", "iso3", "repeats_center", "repeats_forward", "repeats_back", "scene_detections", F.round("scene_quality", 6).alias("scene_quality"), "overpasses",
+        "years_with_overpass", "depth_m", "shore_km", "in_road", "close_to_infra", "potential_ambiguity",
         bins.period24(F.col("ts")).alias("date_24"), bins.pseudo_quarter(F.col("ts")).alias("pseudo_quarter"),
     )
 
 
-@query(D.with_sql(D.DET, D.OVERPASS, REPEATS, QUALITY, HUB, KEPT) + "select detect_id from kept")
+@query(D.with_sql(D.DET, D.OVERPASS, D.INFRA_SQL, D.AMBIGUITY, REPEATS, QUALITY, HUB, KEPT) + "select detect_id from kept")
 def sel_p3_hub_quality_filter(spark: SparkSession, d: str) -> DataFrame:
     return H.quality_filter(_hub(spark, d)).select("detect_id")
 
@@ -224,18 +229,28 @@ def a19_zone_area(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("zone").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("area"), 4).alias("area"), F.round(F.sum(F.when(F.col("overpasses") >= 30, F.col("area")).otherwise(0.0)), 4).alias("imaged"))
 
 
-@query(ALL + f"""select iso3, round(area, 4) as area, round(coalesce(detections, 0), 6) as detections, round(coalesce(west, 0), 6) as west, round(coalesce(east, 0), 6) as east from (
-    select 'E' || cast(cast(floor((lon_index / 20.0::double + 180) / 60) as bigint) as varchar) || cast(cast(floor((lat_index / 20.0::double + 90) / 60) as bigint) as varchar) as iso3,
-           sum(111.0::double * 111.0::double / 400 * cos(radians((lat_index + 0.5::double) / 20))) as area from overpass group by 1)
-  full join (select iso3, sum(1.0::double / nullif(overpasses, 0)) as detections, sum(case when lon < 127 then 1.0::double / nullif(overpasses, 0) end) as west, sum(case when lon >= 127 then 1.0::double / nullif(overpasses, 0) end) as east from cls group by 1) using (iso3)""")
+#: Depths and distances to shore that split a zone's area and activity.
+DEPTHS, SHORES = (200, 1000), (22, 370)
+_PARTS = {**{f"shallower_{m}": ("depth_m", m) for m in DEPTHS}, **{f"nearer_{k}": ("shore_km", k) for k in SHORES}}
+
+
+@query(ALL + f"""select iso3, round(area, 4) as area, {', '.join(f'round(area_{n}, 6) as area_{n}' for n in _PARTS)},
+    round(coalesce(detections, 0), 6) as detections, round(coalesce(west, 0), 6) as west, round(coalesce(east, 0), 6) as east, {', '.join(f'round(coalesce({n}, 0), 6) as {n}' for n in _PARTS)} from (
+    select iso3, sum(km2) as area, {', '.join(f'sum(case when {c} < {v} then km2 else 0 end) / sum(km2) as area_{n}' for n, (c, v) in _PARTS.items())} from (
+      select *, 'E' || cast(cast(floor((lon_index / 20.0::double + 180) / 60) as bigint) as varchar) || cast(cast(floor((lat_index / 20.0::double + 90) / 60) as bigint) as varchar) as iso3,
+             111.0::double * 111.0::double / 400 * cos(radians((lat_index + 0.5::double) / 20)) as km2 from overpass) group by 1)
+  full join (select iso3, sum(w) as detections, sum(case when lon < 127 then w end) as west, sum(case when lon >= 127 then w end) as east, {', '.join(f'sum(case when {c} < {v} then w end) as {n}' for n, (c, v) in _PARTS.items())}
+    from (select *, 1.0::double / nullif(overpasses, 0) as w from cls) group by 1) using (iso3)""")
 def d23_zone_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Area and activity by zone, the activity also split at a meridian."""
-    o = D.overpass(spark, d)
+    """Area and activity by zone, with the shares of the area, and the activity, in shallow waters and near the shore; the activity also split at a meridian."""
     zone = F.concat(F.lit("E"), F.floor((F.col("lon_index") / 20.0 + 180) / 60).cast("bigint").cast("string"), F.floor((F.col("lat_index") / 20.0 + 90) / 60).cast("bigint").cast("string"))
-    area = o.groupBy(zone.alias("iso3")).agg(F.sum(cell_area_km2((F.col("lat_index") + 0.5) / 20, 20)).alias("area"))
+    o = D.overpass(spark, d).withColumns({"iso3": zone, "km2": cell_area_km2((F.col("lat_index") + 0.5) / 20, 20)})
+    area = o.groupBy("iso3").agg(F.sum("km2").alias("area"), *[(F.sum(F.when(F.col(c) < v, F.col("km2")).otherwise(0.0)) / F.sum("km2")).alias(f"area_{n}") for n, (c, v) in _PARTS.items()])
     w = safe_div(F.lit(1), F.col("overpasses"))
-    act = _classified(spark, d).groupBy("iso3").agg(F.sum(w).alias("detections"), F.sum(F.when(F.col("lon") < 127, w)).alias("west"), F.sum(F.when(F.col("lon") >= 127, w)).alias("east"))
-    return area.join(act, "iso3", "full").select("iso3", F.round("area", 4).alias("area"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("detections", "west", "east")])
+    split = {"west": F.col("lon") < 127, "east": F.col("lon") >= 127, **{n: F.col(c) < v for n, (c, v) in _PARTS.items()}}
+    act = _classified(spark, d).groupBy("iso3").agg(F.sum(w).alias("detections"), *[F.sum(F.when(c, w)).alias(n) for n, c in split.items()])
+    rounded = [F.round(f"area_{n}", 6).alias(f"area_{n}") for n in _PARTS] + [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("detections", *split)]
+    return area.join(act, "iso3", "full").select("iso3", F.round("area", 4).alias("area"), *rounded)
 
 
 @query(D.with_sql(D.DET, D.OVERPASS) + "select distinct cast(floor(lat_index / 4.0::double) as bigint) as lat_bin, cast(floor(lon_index / 4.0::double) as bigint) as lon_bin from overpass where overpasses >= 30")

@@ -102,9 +102,14 @@ def matched_category(score: Column, on_fishing_list: Column, threshold: float =
     )
 
 
+def hash32(key: Column, seed: int = 0) -> Column:
+    """A number below 2^32 for each key, by a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+
 def uniform(key: Column, seed: int = 0) -> Column:
     """A reproducible number in [0, 1) for each key."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
+    return hash32(key, seed) / float(1 << 32)
 
 
 def dithered_category(category: Column, fishing: Column, draw: Column) -> Column:

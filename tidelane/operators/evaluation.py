@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.functions.bins import hash32
+
 from tidelane.functions.compat import safe_div
 
 
@@ -72,7 +74,7 @@ def calibrate(df: DataFrame, score: str, table: DataFrame) -> DataFrame:
 
 def fold(key: Column, folds: int, seed: int = 0) -> Column:
     """Fold of a group key by hash: all rows of a key share one."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")
+    return (hash32(key, seed) % folds).cast("int")
 
 
 def masked_squared_error(y: Column, yhat: Column) -> Column:

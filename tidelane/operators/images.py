@@ -6,6 +6,7 @@ tile at a time; a scene is as many tiles as it needs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,20 +86,55 @@ def median_composite(pixels: DataFrame, least: int) -> DataFrame:
     return g.where(F.col("images") >= least)
 
 
-def footprint_mask(tiles: DataFrame, share: float = 0.2) -> DataFrame:
-    """(tile_id, top, bottom, left, right, valid): the box of the pixels above a percentile of border noise."""
+def outline(mask: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Closed rings (x, y) along the pixel edges of a mask, the mask to their left; holes run the other way."""
+    m = np.pad(mask, 1)
+    edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for y, x in zip(*np.nonzero(m)):
+        for dy, dx, a, b in ((-1, 0, (x + 1, y), (x, y)), (0, -1, (x, y), (x, y + 1)), (1, 0, (x, y + 1), (x + 1, y + 1)), (0, 1, (x + 1, y + 1), (x + 1, y))):
+            if not m[y + dy, x + dx]:
+                edges.setdefault((int(a[0]) - 1, int(a[1]) - 1), []).append((int(b[0]) - 1, int(b[1]) - 1))
+    rings = []
+    while edges:
+        at = min(edges)
+        ring = [at]
+        while True:
+            ends = edges[at]
+            if len(ends) > 1 and len(ring) > 1:  # two pixels meet at a corner: stay with the one that is on the left
+                back = (ring[-2][0] - at[0], ring[-2][1] - at[1])
+                ends.sort(key=lambda e: back[0] * (e[1] - at[1]) - back[1] * (e[0] - at[0]))
+            to = ends.pop(0)
+            if not ends:
+                del edges[at]
+            at = to
+            if at == ring[0]:
+                break
+            ring.append(at)
+        corners = [p for a, p, b in zip([ring[-1], *ring[:-1]], ring, [*ring[1:], ring[0]]) if (p[0] - a[0]) * (b[1] - p[1]) != (p[1] - a[1]) * (b[0] - p[0])]
+        rings.append([*corners, corners[0]])
+    return rings
+
+
+def footprint_mask(tiles: DataFrame, share: float = 0.01) -> DataFrame:
+    """(tile_id, valid, geometry): the largest connected region of pixels above a low percentile, which border noise lies under, as WKT in pixel coordinates.
+
+    vals may hold several bands, one tile after the other; a pixel counts where every band is above its percentile.
+    """
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             out = []
             for t in pdf.itertuples():
-                a = np.nan_to_num(_tile(t), nan=-np.inf)
-                y, x = np.nonzero(a > np.percentile(a, 100 * share))
-                if len(y):
-                    out.append((t.tile_id, int(y.min()), int(y.max()), int(x.min()), int(x.max()), len(y)))
-            yield pd.DataFrame(out, columns=["tile_id", "top", "bottom", "left", "right", "valid"])
+                bands = np.nan_to_num(np.asarray(t.vals, float), nan=-np.inf).reshape(-1, int(t.height), int(t.width))
+                lab = regions(np.all([a > np.percentile(a, 100 * share) for a in bands], axis=0))
+                names, sizes = np.unique(lab[lab > 0], return_counts=True)
+                if len(names):
+                    rings = outline(lab == names[np.argmax(sizes)])
+                    text = ", ".join("(" + ", ".join(f"{x} {y}" for x, y in r) + ")" for r in rings)
+                    out.append((t.tile_id, int(sizes.max()), f"POLYGON ({text})"))
+            yield pd.DataFrame(out, columns=["tile_id", "valid", "geometry"])
 
-    return tiles.select("tile_id", "height", "width", "vals").mapInPandas(run, f"tile_id {tiles.schema['tile_id'].dataType.simpleString()}, top bigint, bottom bigint, left bigint, right bigint, valid bigint")
+    return tiles.select("tile_id", "height", "width", "vals").mapInPandas(run, f"tile_id {tiles.schema['tile_id'].dataType.simpleString()}, valid bigint, geometry string")
 
 
 def prepared(vals: Column, divider: float) -> Column:
@@ -127,15 +163,24 @@ def scaled_sigmoid(x: Column, most: float) -> Column:
     return most / (1.0 + F.exp(-x))
 
 
-def augmented(tiles: DataFrame, seed: int = 0) -> DataFrame:
-    """Tiles flipped, transposed and rolled by draws that depend on tile_id alone; square tiles only are transposed."""
+def scaled_and_cropped(a: np.ndarray, scale: float) -> np.ndarray:
+    """The tile enlarged (or shrunk) about its middle, at its old size: nearest pixel, zero outside."""
+    h, w = a.shape
+    y = np.floor((np.arange(h) + 0.5 - h / 2) / scale + h / 2).astype(int)
+    x = np.floor((np.arange(w) + 0.5 - w / 2) / scale + w / 2).astype(int)
+    inside = ((y >= 0) & (y < h))[:, None] & ((x >= 0) & (x < w))[None, :]
+    return np.where(inside, a[np.clip(y, 0, h - 1)][:, np.clip(x, 0, w - 1)], 0.0)
+
+
+def augmented(tiles: DataFrame, length: str | None = None, seed: int = 0, most_scale: float = 1.25) -> DataFrame:
+    """Tiles flipped, transposed, rolled and scaled by draws that depend on a hash of tile_id alone; square tiles only are transposed. A length in the tile grows with its scale."""
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             pdf = pdf.copy()
-            made = []
+            made, scales = [], []
             for t in pdf.itertuples():
-                rng = np.random.default_rng([seed, sum(map(ord, str(t.tile_id)))])
+                rng = np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(str(t.tile_id).encode(), digest_size=8).digest(), "big")])
                 a = _tile(t)
                 if rng.random() < 0.5:
                     a = a[::-1]
@@ -144,37 +189,41 @@ def augmented(tiles: DataFrame, seed: int = 0) -> DataFrame:
                 if a.shape[0] == a.shape[1] and rng.random() < 0.5:
                     a = a.T
                 a = np.roll(a, rng.integers(-2, 3, 2), axis=(0, 1))
-                made.append(a.ravel().tolist())
+                scales.append(most_scale ** rng.uniform(-1, 1))
+                made.append(scaled_and_cropped(a, scales[-1]).ravel().tolist())
             pdf["vals"] = made
+            pdf["length"] = pdf["length"] * scales
             yield pdf
 
-    t = tiles.select("tile_id", "height", "width", F.col("vals").cast("array<double>").alias("vals"))
+    size = F.lit(None).cast("double") if length is None else F.col(length).cast("double")
+    t = tiles.select("tile_id", "height", "width", F.col("vals").cast("array<double>").alias("vals"), size.alias("length"))
     return t.mapInPandas(run, t.schema)
 
 
 def predicted(tiles: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], outputs: list[str], batch: int = 256) -> DataFrame:
-    """(tile_id, outputs): a model over batches of tiles of one size. load() gives the model, once for each task; the last batch may be smaller."""
+    """(tile_id, outputs): a model over batches of tiles of one size. load() gives the model, once for each task; it always sees `batch` tiles, the last ones filled up with zeros."""
 
     def run(batches: Iterator[pd.DataFrame]):
         model = load()
         for pdf in batches:
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
-                y = model(np.stack([_tile(t) for t in part.itertuples()]))
+                x = np.stack([_tile(t) for t in part.itertuples()])
+                y = model(np.concatenate([x, np.zeros((batch - len(x), *x.shape[1:]))]))[: len(x)]
                 yield pd.DataFrame({"tile_id": part["tile_id"].to_numpy(), **{k: np.asarray(y[:, j], float) for j, k in enumerate(outputs)}})
 
     kind = tiles.schema["tile_id"].dataType.simpleString()
     return tiles.select("tile_id", "height", "width", "vals").mapInPandas(run, ", ".join([f"tile_id {kind}", *(f"{k} double" for k in outputs)]))
 
 
-def greedy_dedup(points: DataFrame, by: str, radius_m: float, score: str) -> DataFrame:
-    """(id): per group of `by` points (id, lat, lon, score) best first, dropping those within the radius of one kept. Groups are single images; cells sized by the radius find neighbours."""
+def greedy_dedup(points: DataFrame, by: str, radius_m: float, order: str) -> DataFrame:
+    """(id): per group of `by` points (id, lat, lon) as they were first seen by `order` (then id), dropping those within the radius of one kept. Groups are single images; cells sized by the radius find neighbours."""
     kind = points.schema["id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from tidelane.functions.geo import haversine_np
 
-        pdf = pdf.sort_values([score, "id"], ascending=[False, True])
+        pdf = pdf.sort_values([order, "id"])
         step = np.degrees(radius_m / 6_371_000.0)
         kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
         ids = []
@@ -187,4 +236,4 @@ def greedy_dedup(points: DataFrame, by: str, radius_m: float, score: str) -> Dat
                 ids.append(i)
         return pd.DataFrame({"id": ids})
 
-    return points.select(by, "id", "lat", "lon", score).dropna().groupBy(by).applyInPandas(run, f"id {kind}")
+    return points.select(by, "id", "lat", "lon", order).dropna().groupBy(by).applyInPandas(run, f"id {kind}")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.runtime import BROADCAST_ROWS
+
 
 def rolling_expand(df: DataFrame, date: str, back: int, forward: int, name: str = "rolling_date") -> DataFrame:
     """df with a row for each day from `back` before to `forward` after: a rolling window becomes an equality, not a theta join."""
@@ -24,8 +26,12 @@ def smoothed_periods(df: DataFrame, date: str, start: dt.date, step: int = 24, r
 
 
 def densify(facts: DataFrame, cells: DataFrame, periods: DataFrame, keys: list[str], period: str, values: list[str]) -> DataFrame:
-    """Every cell in every period; missing facts count zero, and is_missing says so. periods are few (a calendar) and broadcast."""
-    grid = cells.select(*keys).distinct().crossJoin(F.broadcast(periods.select(period).distinct()))
+    """Every cell in every period; missing facts count zero, and is_missing says so. The periods are a calendar, whose size is checked: each cell gets them as one list."""
+    calendar = [r[0] for r in periods.select(period).distinct().limit(BROADCAST_ROWS + 1).collect()]
+    if len(calendar) > BROADCAST_ROWS:
+        raise ValueError(f"over {BROADCAST_ROWS} periods; densify in parts")
+    kind = periods.schema[period].dataType
+    grid = cells.select(*keys).distinct().withColumn(period, F.explode(F.array(*[F.lit(x).cast(kind) for x in sorted(x for x in calendar if x is not None)]).cast(f"array<{kind.simpleString()}>")))
     out = grid.join(facts.withColumn("__seen", F.lit(True)), [*keys, period], "left")
     return out.withColumns({v: F.coalesce(v, F.lit(0)) for v in values}).withColumn("is_missing", F.col("__seen").isNull()).drop("__seen")
 
@@ -96,49 +102,85 @@ def trend_and_cycle(df: DataFrame, key: str, t: str, value: str, lam: float) ->
     return df.select(F.col(key).cast("string").alias(key), F.col(t).cast("date").alias(t), F.col(value).cast("double").alias(value)).dropna().groupBy(key).applyInPandas(solve, schema)
 
 
-def despike(df: DataFrame, key: str, t: str, value: str, n_std: float = 2.5, rounds: int = 3, smooth: int = 5) -> DataFrame:
-    """(key, t, value, clean): points that lie n_std deviations off a running median are replaced by interpolation, repeatedly."""
+def despike(df: DataFrame, key: str, t: str, value: str, n_std: float = 3.0, rounds: int = 2, lam: float = 129_600.0) -> DataFrame:
+    """(key, t, value, clean): points whose distance from the Hodrick-Prescott trend is over n_std deviations are replaced by interpolation (at the start by what follows), repeatedly."""
     schema = f"{key} string, {t} date, {value} double, clean double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
         y = pdf[value].astype(float).reset_index(drop=True)
         for _ in range(rounds):
-            rest = y - y.rolling(smooth, center=True, min_periods=1).median()
-            bad = rest.abs() > n_std * rest.std()
-            if not bad.any():
-                break
-            y = y.mask(bad).interpolate().bfill()
+            rest = y.to_numpy() - hodrick_prescott(y.to_numpy(), lam)
+            y = y.mask(np.abs(rest) > n_std * rest.std()).interpolate().bfill()
         pdf["clean"] = y.to_numpy()
         return pdf
 
     return df.select(F.col(key).cast("string").alias(key), F.col(t).cast("date").alias(t), F.col(value).cast("double").alias(value)).dropna().groupBy(key).applyInPandas(solve, schema)
 
 
-def block_bootstrap(df: DataFrame, key: str, t: str, value: str, split: dt.date, reps: int = 1000, block: int = 12, seed: int = 1) -> DataFrame:
-    """(key, change, low, high): percent change of the mean after a date, with a 95 % interval from a stationary block bootstrap of both sides."""
-    schema = f"{key} string, change double, low double, high double"
-
-    def draw(y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """Means of `reps` resamples: a new block starts with chance 1/block, else the next value follows, round the end."""
-        n = len(y)
-        new = rng.random((reps, n)) < 1.0 / block
+def stationary_block_length(y: np.ndarray) -> float:
+    """Mean block length for a stationary bootstrap by the automatic rule of Politis and White (2004), as corrected in 2009."""
+    n = len(y)
+    z = y - y.mean()
+    if n < 4 or not z.any():
+        return 1.0
+    near = max(5, int(np.sqrt(np.log10(n))))
+    most_lag = int(np.ceil(np.sqrt(n))) + near
+    cov = np.array([z[: n - k] @ z[k:] / n for k in range(min(n - 1, most_lag) + 1)])
+    small = np.abs(cov[1:] / cov[0]) < 2 * np.sqrt(np.log10(n) / n)
+    # the last lag before `near` small autocorrelations in a row
+    runs = [m for m in range(len(small) - near + 1) if small[m : m + near].all()]
+    m = runs[0] if runs else int(np.flatnonzero(~small)[-1]) + 1 if (~small).any() else 1
+    width = min(2 * max(m, 1), len(cov) - 1)
+    k = np.arange(-width, width + 1)
+    window = np.clip(2 * (1 - np.abs(k) / width), 0, 1)
+    g0, g1 = (window * cov[np.abs(k)]).sum(), (window * np.abs(k) * cov[np.abs(k)]).sum()
+    length = (g1 * g1 / (g0 * g0)) ** (1 / 3) * n ** (1 / 3) if g0 else 1.0
+    return float(np.clip(length, 1.0, np.ceil(min(3 * np.sqrt(n), n / 3))))
+
+
+def stationary_means(y: np.ndarray, block: float, reps: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of `reps` resamples: a new block starts with chance 1/block, else the next value follows, round the end."""
+    n = len(y)
+    out = []
+    place = np.arange(n)
+    for k in range(0, reps, 1000):
+        rows = min(1000, reps - k)
+        new = rng.random((rows, n)) < 1.0 / block
         new[:, 0] = True
-        start = rng.integers(0, n, (reps, n))
-        place = np.arange(n)
-        since = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
-        head = np.take_along_axis(start, place - since, axis=1)
-        return y[(head + since) % n].mean(axis=1)
+        head = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        start = np.take_along_axis(rng.integers(0, n, (rows, n)), head, axis=1)
+        out.append(y[(start + place - head) % n].mean(axis=1))
+    return np.concatenate(out)
+
+
+def block_bootstrap(df: DataFrame, key: str, t: str, value: str, split: dt.date, reps: int = 100_000, seed: int = 1) -> DataFrame:
+    """(key, change, low, high, block): percent change of the mean after a date against the season's mean before it, with a 95 % interval.
+
+    The season is the mean of each day of the year before the date. What differs from it, before and after, is drawn by a
+    stationary block bootstrap whose block length is estimated from both sides. A series without values on both sides, or
+    with a season of mean zero, gives no row; days of the year without a value before the date don't count.
+    """
+    schema = f"{key} string, change double, low double, high double, block double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
-        a, b = (pdf.loc[m, value].to_numpy(float) for m in (pdf[t] < split, pdf[t] >= split))
-        if not len(a) or not len(b) or a.mean() == 0:
-            return pd.DataFrame(columns=[key, "change", "low", "high"])
+        days = pd.to_datetime(pdf[t])
+        leap = ((days.dt.month == 2) & (days.dt.day == 29)).to_numpy()
+        pdf, days = pdf[~leap], days[~leap]
+        of_year = (days.dt.month * 100 + days.dt.day).to_numpy()
+        before = (pdf[t] < split).to_numpy()
+        y = pdf[value].to_numpy(float)
+        season = pd.Series(y[before]).groupby(of_year[before]).mean()
+        rest = y - season.reindex(of_year).to_numpy()
+        a, b = rest[before], rest[~before & ~np.isnan(rest)]
+        if not len(a) or not len(b) or season.mean() == 0:
+            return pd.DataFrame(columns=[key, "change", "low", "high", "block"])
+        block = max(1.0, round(0.5 * (stationary_block_length(a) + stationary_block_length(b))))
         rng = np.random.default_rng([seed, *pdf[key].iloc[0].encode()])
-        changes = 100 * (draw(b, rng) / draw(a, rng) - 1)
-        low, high = np.nanpercentile(changes, [2.5, 97.5])
-        return pd.DataFrame([(pdf[key].iloc[0], 100 * (b.mean() / a.mean() - 1), low, high)], columns=[key, "change", "low", "high"])
+        changes = 100 * (stationary_means(b, block, reps, rng) - stationary_means(a, block, reps, rng)) / season.mean()
+        low, high = np.percentile(changes, [2.5, 97.5])
+        return pd.DataFrame([(pdf[key].iloc[0], 100 * (b.mean() - a.mean()) / season.mean(), low, high, block)], columns=[key, "change", "low", "high", "block"])
 
     return df.select(F.col(key).cast("string").alias(key), F.col(t).cast("date").alias(t), F.col(value).cast("double").alias(value)).dropna().groupBy(key).applyInPandas(solve, schema)
 

@@ -188,18 +188,18 @@ def t2_top_countries(spark: SparkSession, d: str) -> DataFrame:
     return D.infra(spark, d).groupBy("iso3").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "iso3").limit(10)
 
 
-@query()
+@query(D.with_sql(D.DET) + "select scene_id from (select distinct scene_id from det) order by ('0x' || substr(md5('5:' || scene_id), 1, 8))::ubigint nulls first, scene_id limit 40")
 def t3_random_subset(spark: SparkSession, d: str) -> DataFrame:
     """Forty scenes by a reproducible draw."""
     x = D.det(spark, d).select("scene_id").distinct()
     return x.orderBy(bins.uniform(F.col("scene_id"), 5), "scene_id").limit(40)
 
 
-@query("select scene_id, ssvid, detect_id, score, null::double as confidence from score_mult union all select scene_id, ssvid, detect_id, score, confidence from detect_scene_match")
+@query("select scene_id, ssvid, detect_id, case when not isnan(score) then score end as score, null::double as confidence from score_mult union all select scene_id, ssvid, detect_id, case when not isnan(score) then score end, case when not isnan(confidence) then confidence end from detect_scene_match")
 def u1_union_all(spark: SparkSession, d: str) -> DataFrame:
-    """Positions by name, missing columns null."""
+    """Positions by name, missing columns null; numbers that are none become null."""
     a, b = read_table(spark, d, "score_mult").select("scene_id", "ssvid", "detect_id", "score"), read_table(spark, d, "detect_scene_match").select("scene_id", "ssvid", "detect_id", "score", "confidence")
-    return a.unionByName(b, allowMissingColumns=True)
+    return a.unionByName(b, allowMissingColumns=True).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("score", "confidence")})
 
 
 @query("select scene_id from score_mult union select scene_id from detect_scene_match")

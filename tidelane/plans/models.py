@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelane.functions.bins import scene_time
 from tidelane.functions.geo import cell_area_km2
 from tidelane.operators import evaluation as E
 from tidelane.operators import features as X
@@ -117,7 +118,7 @@ def d50_calibrated(spark: SparkSession, d: str) -> DataFrame:
     return E.calibrate(t, "s", E.calibration_table(E.reliability(t, "y", "s"))).select("doc_id", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query()
+@query(D.with_sql(D.DET) + "select fold, count(distinct day) as days, count(*) as n from (select *, cast(('0x' || substr(md5('0:' || strftime(day, '%Y-%m-%d')), 1, 8))::ubigint % 5 as integer) as fold from det where day is not null) group by 1")
 def d51_group_split(spark: SparkSession, d: str) -> DataFrame:
     """Five folds of whole days."""
     x = D.det(spark, d).where("day is not null")
@@ -183,9 +184,9 @@ def d52_preprocessing(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d53_augmentation(spark: SparkSession, d: str) -> DataFrame:
-    """Sums survive flips and rolls."""
-    a = I.augmented(tiles(spark, d))
-    return a.select("tile_id", F.round(F.aggregate("vals", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    """The pixels of flipped, transposed, rolled and scaled tiles, with the length scaled alike."""
+    a = I.augmented(tiles(spark, d).withColumn("length_m", 100.0 + F.col("label")), "length_m")
+    return a.select("tile_id", F.posexplode("vals").alias("place", "v"), F.round("length", 6).alias("length_m")).withColumn("v", F.round("v", 6))
 
 
 @query("select vec_id, round(greatest(a, 0) / (greatest(a, 0) + greatest(b, 0) + greatest(c, 0) + 3), 8) as score, round(300.0 / (1 + exp(-a)), 6) as length_m from (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings)")
@@ -207,6 +208,6 @@ def d58_batched_inference(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d43_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Of detections of one scene within 40 m the likelier stays."""
-    x = D.det(spark, d).where("scene_id is not null").select("scene_id", F.col("detect_id").alias("id"), "lat", "lon", F.coalesce("presence", F.lit(0.0)).alias("presence"))
-    return I.greedy_dedup(x, "scene_id", 40.0, "presence")
+    """Of detections of one scene time within 40 m the first seen stays."""
+    x = D.det(spark, d).where("scene_id is not null").withColumn("time", F.coalesce(scene_time(F.col("scene_id"), 1).cast("string"), F.col("scene_id")))
+    return I.greedy_dedup(x.select("time", F.col("detect_id").alias("id"), "lat", "lon", "ts"), "time", 40.0, "ts")

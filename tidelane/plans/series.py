@@ -170,7 +170,7 @@ def d29_despike(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def d31_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     x = S.block_bootstrap(daily(spark, d), "flag", "day", "q", dt.date(1998, 1, 1))
-    return x.select("flag", *[F.round(c, 4).alias(c) for c in ("change", "low", "high")])
+    return x.select("flag", *[F.round(c, 4).alias(c) for c in ("change", "low", "high", "block")])
 
 
 @query(D.with_sql(D.OVERPASS.replace("from det", "from (select cast(floor(lat * 20) as bigint) as lat_index, cast(floor(lon * 20) as bigint) as lon_index from det)"), ).replace("with ", "with " + D.DET + ",\n", 1)

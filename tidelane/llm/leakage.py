@@ -6,7 +6,7 @@ A'(A Omega) with OVER more columns than the rank, then A'(A Q) is projected on t
 solved for the leading singular directions. Each task sends its share, FEATURES x (rank + OVER) numbers whatever its
 input.
 
-Candidates are pairs of passages, of a document every few words and of the items at every word, whose cosine in that
+Candidates are pairs of passages, of a document every few words and of the items at every word or second word, whose cosine in that
 space reaches least_cosine. They come through an index: the items' passages are clustered there (spherical k-means), and
 a document's passage is held against those of the `probes` nearest clusters. Pairs are checked at once in the
 same task; no candidate list is written, and there is no cap on candidates. The index is the one approximate step: a
@@ -43,6 +43,8 @@ FEATURES = 1 << 15
 #: Features to a row of the matrices that tasks send, and columns beyond the rank in the search for the range.
 ROWS, OVER = 512, 8
 BLOCK = 2_000
+#: Numbers that words are marked by, to bound how many two passages have in common.
+MARKS = 128
 #: Words handled at once.
 SPAN = 60_000
 _CUT = re.compile(r"[\W_]+")
@@ -114,7 +116,7 @@ def latent(words: np.ndarray, first: np.ndarray, behind: np.ndarray, table: np.n
 
 
 def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """IDF of every hashed word over all documents of coded(). FEATURES numbers come to the driver."""
+    """IDF of every hashed word over all documents of coded(), zero for those in none. FEATURES numbers come to the driver."""
 
     def count(batches):
         n = np.zeros(FEATURES + 1, np.int64)
@@ -129,17 +131,35 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
     df = np.zeros(FEATURES + 1)
     for f, n in docs.select("words").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
         df[f] = n
-    return np.log((df[FEATURES] + 1) / (df[:FEATURES] + 1)) + 0.1
+    return np.where(df[:FEATURES] > 0, np.log((df[FEATURES] + 1) / (df[:FEATURES] + 1)) + 0.1, 0.0)
+
+
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each passage, one after the other."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else first, size) + np.arange(int(size.sum()))
+
+
+class Sent:
+    """A FEATURES x n matrix for the tasks, without the rows of zeros that words nobody uses have."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = np.flatnonzero(x.any(axis=1)).astype(np.int32)
+        self.values = x[self.rows].astype(np.float32)
+
+    def whole(self) -> np.ndarray:
+        out = np.zeros((FEATURES, self.values.shape[1]), np.float32)
+        out[self.rows] = self.values
+        return out
 
 
 def _gram(docs: DataFrame, idf: np.ndarray, x: np.ndarray, fit: int) -> np.ndarray:
     """A'(A x), A being the TF-IDF of all passages of `fit` words side by side."""
     spark = docs.sparkSession
     columns = x.shape[1]
-    sent = spark.sparkContext.broadcast((idf[:, None] * x).astype(np.float32))
+    sent = spark.sparkContext.broadcast(Sent(idf[:, None] * x))
 
     def share(batches):
-        table = sent.value
+        table = sent.value.whole()
         total = np.zeros((FEATURES, columns), np.float32)
         for batch in batches:
             w = Words.of(batch)
@@ -172,7 +192,7 @@ def _gram(docs: DataFrame, idf: np.ndarray, x: np.ndarray, fit: int) -> np.ndarr
     y = np.zeros((FEATURES, columns))
     for k, m in docs.select("words").mapInArrow(share, "k bigint, m binary").repartition("k").mapInArrow(add, "k bigint, m binary").collect():
         y[k * ROWS : (k + 1) * ROWS] = np.frombuffer(m, float).reshape(ROWS, columns)
-    sent.unpersist()
+    sent.destroy()
     return idf[:, None] * y
 
 
@@ -185,14 +205,14 @@ def singular_directions(docs: DataFrame, idf: np.ndarray, rank: int, fit: int, s
 
 
 class ItemIndex:
-    """One block of items: their passages at every word, in clusters of the latent space."""
+    """One block of items: their passages, in clusters of the latent space."""
 
-    def __init__(self, ids: list, texts: list[str], table: np.ndarray, window: int, short: bool, seed: int = 5):
+    def __init__(self, ids: list, texts: list[str], table: np.ndarray, window: int, stride: int, short: bool, seed: int = 5):
         kept: dict[str, int] = {}
         self.ids = ids
         self.words = Words([word_codes(t, kept) for t in texts])
         self.answer = np.array(sorted(code for raw, code in kept.items() if code and any(c.isdigit() for c in raw)), np.uint32)
-        self.item, self.first, self.behind = self.words.passages(window, 1, short)
+        self.item, self.first, self.behind = self.words.passages(window, stride, short)
         z = latent(self.words.all, self.first, self.behind, table)
         # as many clusters as cost a search the same as the passages of a few of them
         clusters = max(1, min(len(z), int(2 * np.sqrt(len(z)))))
@@ -206,11 +226,22 @@ class ItemIndex:
                 self.centre[of[order][head]] = _unit(np.add.reduceat(z[order], head, axis=0))
         of = nearest().astype(int)
         order = np.argsort(of, kind="stable")
-        self.item, self.first, self.behind, self.z = self.item[order], self.first[order], self.behind[order], z[order]
+        self.item, self.first, self.behind = (v[order].astype(np.int32) for v in (self.item, self.first, self.behind))
+        self.z = z[order].astype(np.float16)  # half the size to send, and good to a thousandth
         self.bounds = np.searchsorted(of[order], np.arange(len(self.centre) + 1))
 
-    def near(self, z: np.ndarray, probes: int, least: float):
-        """(row of z, passage, cosine) of the pairs that reach the cosine, among the passages of each row's nearest clusters."""
+    def marks(self) -> np.ndarray:
+        """How many words of each passage fall on each of MARKS numbers."""
+        size = self.behind - self.first
+        out = np.zeros((len(size), MARKS), np.float32)
+        np.add.at(out, (np.repeat(np.arange(len(size)), size), self.words.all[_places(self.first, size)] % MARKS), 1)
+        return out
+
+    def near(self, z: np.ndarray, of_items: np.ndarray, probes: int, least: float, held: tuple | None = None):
+        """(row of z, passage, cosine) of the pairs that reach the cosine, among the passages of each row's nearest clusters.
+
+        held: (marks of the rows' words as 0 or 1, marks() of the passages, words each passage needs): a bound on the words in common.
+        """
         probes = min(probes, len(self.centre))
         cos = z @ self.centre.T
         top = np.argpartition(cos, -probes, axis=1)[:, -probes:] if probes < cos.shape[1] else np.broadcast_to(np.arange(probes), cos.shape)
@@ -221,8 +252,11 @@ class ItemIndex:
         head = np.flatnonzero(np.concatenate([[True], np.diff(of) > 0])) if len(of) else of
         for a, b in zip(head, np.append(head[1:], len(of))):
             low, high = self.bounds[of[a]], self.bounds[of[a] + 1]
-            c = z[row[a:b]] @ self.z[low:high].T
-            hit = np.flatnonzero(c.ravel() >= least)
+            c = z[row[a:b]] @ of_items[low:high].T
+            ok = c >= least
+            if held is not None and ok.any():
+                ok &= held[0][row[a:b]] @ held[1][low:high].T >= held[2][low:high]
+            hit = np.flatnonzero(ok.ravel())
             if len(hit):
                 r, m = np.divmod(hit, high - low)
                 yield row[a:b][r], low + m, c.ravel()[hit]
@@ -261,7 +295,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: flo
     return _search(docs, items, _Verbatim(min_words, exchanged, window), window, stride, rank, least_cosine, probes, fit)
 
 
-def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 8, rank: int = 64, least_cosine: float = 0.6, probes: int = 8, fit: int = 32, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
+def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 8, rank: int = 64, least_cosine: float = 0.65, probes: int = 8, fit: int = 32, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
     """(doc, item, common, answers, cosine): documents with a passage close to one of an item; common is the share of its words in the longest common subsequence, answers that of its words with digits."""
     return _search(docs, items, _Reworded(least_common, least_answer, stride), window, stride, rank, least_cosine, probes, fit)
 
@@ -271,13 +305,13 @@ def _search(docs, items, check, window, stride, rank, least_cosine, probes, fit)
     docs = coded(docs)
     idf = inverse_frequency(docs)
     table = (idf[:, None] * singular_directions(docs, idf, rank, fit)[1]).astype(np.float32)
-    sent = spark.sparkContext.broadcast(table)
+    sent = spark.sparkContext.broadcast(Sent(table))
     d, i = docs.schema["doc"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     schema = f"doc {d}, item {i}, {check.columns}"
     out, block = None, []
 
     def search():
-        kept_index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in block], [r[1] for r in block], table, window, check.short))
+        kept_index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in block], [r[1] for r in block], table, window, check.item_stride, check.short))
         return docs.mapInArrow(lambda it: _candidates(it, sent.value, kept_index.value, window, stride, least_cosine, probes, check, schema), schema)
 
     for row in items.where("item is not null and text is not null").select("item", "text").toLocalIterator():
@@ -295,6 +329,7 @@ def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine,
     names = [c.split()[0] for c in schema.split(", ")]
     if not len(index.z):
         return
+    table, z_items, bound = table.whole(), index.z.astype(np.float32), check.bound(index)
     for batch in batches:
         words = Words.of(batch)
         text, first, behind = words.passages(window, stride, check.short)
@@ -303,7 +338,8 @@ def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine,
         while at < len(first):
             end = max(at + 1, int(np.searchsorted(first, first[at] + SPAN)))
             z = latent(words.all, first[at:end], behind[at:end], table)
-            for row, passage, cosine in index.near(z, probes, least_cosine):
+            held = bound and (check.marked(words, text[at:end], first[at:end], behind[at:end]), *bound)
+            for row, passage, cosine in index.near(z, z_items, probes, least_cosine, held):
                 kept = check.keep(words, first[at:end][row], behind[at:end][row], text[at:end][row], index, passage)
                 if len(kept[0]):
                     pick = kept[0]
@@ -320,13 +356,16 @@ def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine,
 class _Verbatim:
     """Alignments word by word, and the longest stretch along each."""
 
-    columns, short = "words bigint, first_word bigint, cosine double", False
+    columns, short, item_stride = "words bigint, first_word bigint, cosine double", False, 1
     #: Words that may differ in a passage. In a stretch with one in ten exchanged, some passage has no more.
     DIFFER = 3
 
     def __init__(self, min_words: int, exchanged: float, window: int):
         self.min_words, self.exchanged, self.window = min_words, exchanged, window
 
+    def bound(self, index: ItemIndex) -> None:
+        return None
+
     def keep(self, words: Words, first, behind, text, index: ItemIndex, passage):
         """Places of the pairs that lie against each other, and how far the document's place is ahead of the item's."""
         a, b = first, index.first[passage]
@@ -360,36 +399,42 @@ class _Verbatim:
 class _Reworded:
     """Longest common subsequence of the two passages, and the answer words."""
 
-    columns, short = "common double, answers double, cosine double", True
+    columns, short, item_stride = "common double, answers double, cosine double", True, 2
 
     def __init__(self, least_common: float, least_answer: float, margin: int):
         self.least_common, self.least_answer, self.margin = least_common, least_answer, margin
 
+    def bound(self, index: ItemIndex) -> tuple:
+        return index.marks(), np.ceil(self.least_common * (index.behind - index.first) - 1e-9).astype(np.float32)
+
+    def _around(self, words: Words, text, first, behind):
+        return np.maximum(words.offset[text], first - self.margin), np.minimum(words.offset[text + 1], behind + self.margin)
+
+    def marked(self, words: Words, text, first, behind) -> np.ndarray:
+        a, b = self._around(words, text, first, behind)
+        out = np.zeros((len(a), MARKS), np.float32)
+        out[np.repeat(np.arange(len(a)), b - a), words.all[_places(a, b - a)] % MARKS] = 1
+        return out
+
     def keep(self, words: Words, first, behind, text, index: ItemIndex, passage):
-        """Places of the pairs that qualify, their common share and share of answers. Each item passage is marked in the words of its cluster once, so that the words held bound the subsequence before it is computed."""
+        """Places of the pairs that qualify, their common share and share of answers. Words held bound the subsequence before it is computed."""
         out, common, answers = [], [], []
-        order = np.argsort(first, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
-            k = int(part[0])
-            t = text[k]
-            mine = words.all[max(words.offset[t], first[k] - self.margin) : min(words.offset[t + 1], behind[k] + self.margin)]
-            p = passage[part]
-            size = index.behind[p] - index.first[p]
-            width = int(size.max())
-            place = np.minimum(index.first[p][:, None] + np.arange(width), index.behind[p][:, None] - 1)
-            real = np.arange(width) < size[:, None]
-            theirs = index.words.all[place]
-            here = np.isin(theirs, mine) & real
-            for j in np.flatnonzero(here.sum(axis=1) >= self.least_common * size).tolist():
-                known = np.isin(theirs[j], index.answer) & real[j]
-                share = float(here[j][known].mean()) if known.any() else 1.0
-                if share < self.least_answer:
-                    continue
-                c = common_subsequence(theirs[j][: size[j]], mine) / int(size[j])
-                if c >= self.least_common:
-                    out.append(part[j])
-                    common.append(c)
-                    answers.append(share)
+        low, high = self._around(words, text, first, behind)
+        for k, p in enumerate(passage.tolist()):
+            mine, theirs = words.all[low[k] : high[k]].tolist(), index.words.all[index.first[p] : index.behind[p]]
+            have = set(mine)
+            here = np.array([x in have for x in theirs.tolist()])
+            if here.sum() < self.least_common * len(theirs):
+                continue
+            known = np.isin(theirs, index.answer)
+            share = float(here[known].mean()) if known.any() else 1.0
+            if share < self.least_answer:
+                continue
+            c = common_subsequence(theirs, np.array(mine)) / len(theirs)
+            if c >= self.least_common:
+                out.append(k)
+                common.append(c)
+                answers.append(share)
         return np.array(out, np.int64), np.array(common), np.array(answers)
 
     def rows(self, words: Words, index: ItemIndex, text, item, cosine, common, answers):

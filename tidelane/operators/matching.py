@@ -106,18 +106,21 @@ def raster_weights(raster: DataFrame, keys: list[str]) -> DataFrame:
 def raster_lookup(m: DataFrame, raster: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """m with probability, interpolated between the four cells around (x_key, y_key), and weight; a missing cell has zero.
 
-    A row becomes its four corners with their shares, which one join looks up and one aggregation sums. The raster is
-    symmetrical in i, so |i| looks it up and no mirrored copy is made.
+    Each corner is a join on the raster's key, against a table that is broadcast if its counted size allows; rows of m
+    stay where they are and are not regrouped. The raster is symmetrical in i, so |i| looks it up and no mirrored copy is made.
     """
     x, y = F.col("x_key") / cell, F.col("y_key") / cell
     x1, x2, y1, y2 = bq_int(x - 0.5), bq_int(x + 0.5), bq_int(y - 0.5), bq_int(y + 0.5)
     fx, fy = (x - x1) / (x2 - x1), (y - y1) / (y2 - y1)
-    corner = lambda i, j, share: F.struct(F.abs(i).alias("__i"), j.alias("__j"), share.alias("__f"))
-    four = F.array(corner(x1, y1, (1 - fx) * (1 - fy)), corner(x2, y1, fx * (1 - fy)), corner(x1, y2, (1 - fx) * fy), corner(x2, y2, fx * fy))
+    four = ((x1, y1, (1 - fx) * (1 - fy)), (x2, y1, fx * (1 - fy)), (x1, y2, (1 - fx) * fy), (x2, y2, fx * fy))
     side = small(raster.select(*keys, F.col("i").alias("__i"), F.col("j").alias("__j"), F.col("probability").alias("__p")))
-    spread = m.select(*m.columns, F.inline(four)).join(side, [*keys, "__i", "__j"], "left")
-    p = spread.groupBy(*m.columns).agg(F.sum(F.coalesce("__p", F.lit(0.0)) * F.col("__f")).alias("probability"))
-    return p.join(small(raster_weights(raster, keys)), keys, "left")
+    total, out = None, m
+    for k, (i, j, share) in enumerate(four):
+        out = out.withColumns({"__i": F.abs(i), "__j": j}).join(side.withColumnRenamed("__p", f"__p{k}"), [*keys, "__i", "__j"], "left").drop("__i", "__j")
+        part = F.coalesce(F.col(f"__p{k}") * share, F.lit(0.0))
+        total = part if total is None else total + part
+    out = out.select(*m.columns, total.alias("probability"))
+    return out.join(small(raster_weights(raster, keys)), keys, "left")
 
 
 def pair_pings(m: DataFrame, value: list[str]) -> DataFrame:

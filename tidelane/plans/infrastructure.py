@@ -87,13 +87,12 @@ def j7_close_to_infrastructure(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("detect_id").agg(F.count(F.lit(1)).alias("structures"), F.count_if(F.col("distance_m") < 2000).alias("within_2km"))
 
 
-COMP = "cmpo as (select distinct l_partkey % 500 as cluster, cast(date_trunc('month', l_shipdate) as date) as midpoint from lineitem where l_linenumber = 1)"
+COMP = "cmpo as (select distinct l_partkey as cluster, cast(date_trunc('month', l_shipdate) as date) as midpoint from lineitem)"
 
 
 def composites(spark: SparkSession, d: str) -> DataFrame:
     """Months in which a cluster was seen, from order lines."""
-    x = read_table(spark, d, "lineitem").where("l_linenumber = 1")
-    return x.select((F.col("l_partkey") % 500).alias("cluster"), F.trunc(F.to_date("l_shipdate"), "month").alias("midpoint")).distinct()
+    return read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("cluster"), F.trunc(F.to_date("l_shipdate"), "month").alias("midpoint")).distinct()
 
 
 @query(D.with_sql(COMP, """gp as (select *, case when lag(midpoint) over w is null or (extract(year from midpoint) - extract(year from lag(midpoint) over w)) * 12 + extract(month from midpoint) - extract(month from lag(midpoint) over w) > 2 then 1 else 0 end as new from cmpo window w as (partition by cluster order by midpoint)),

@@ -270,12 +270,13 @@ EXTRAP = f"""ext as (
   select e.ext_id, trim(e.ssvid) as ssvid, upper(trim(e.scene_id)) as scene_id, is_single, {LABEL_SQL} as label, greatest(coalesce(scale1, 0), coalesce(scale2, 0)) as scale, scale1, scale2, delta_minutes1, delta_minutes2, speed1, speed2, course1, course2,
          lat_extrapolate1 + lat_doppler_offset as lat_adj1, lon_extrapolate1 + lon_doppler_offset as lon_adj1, lat_extrapolate2 + lat_doppler_offset as lat_adj2, lon_extrapolate2 + lon_doppler_offset as lon_adj2
   from detect_foot_ext_doppler e join vessel v on trim(e.ssvid) = v.ssvid
-  where e.scene_id is not null and abs(lat_extrapolate1 - lat_extrapolate2) < 0.5 and abs(lon_extrapolate1 - lon_extrapolate2) < 0.5 and lat_doppler_offset is not null and lon_doppler_offset is not null)"""
+  where e.scene_id is not null and (is_single or (abs(lat_extrapolate1 - lat_extrapolate2) < 10 and abs(lon_extrapolate1 - lon_extrapolate2) < 10)) and lat_doppler_offset is not null and lon_doppler_offset is not null)"""
 
 
 def extrap(spark: SparkSession, d: str) -> DataFrame:
+    """Extrapolations with their label and corrected positions. Two rasters of 500 km each way meet nowhere if their pings lie ten degrees apart."""
     e = read_table(spark, d, "detect_foot_ext_doppler").withColumns({"ssvid": F.trim("ssvid"), "scene_id": F.upper(F.trim("scene_id"))})
-    e = e.where("scene_id is not null and abs(lat_extrapolate1 - lat_extrapolate2) < 0.5 and abs(lon_extrapolate1 - lon_extrapolate2) < 0.5 and lat_doppler_offset is not null and lon_doppler_offset is not null")
+    e = e.where("scene_id is not null and (is_single or (abs(lat_extrapolate1 - lat_extrapolate2) < 10 and abs(lon_extrapolate1 - lon_extrapolate2) < 10)) and lat_doppler_offset is not null and lon_doppler_offset is not null")
     e = e.join(D.vessel(spark, d), "ssvid")
     adj = {f"{c}_adj{k}": F.col(f"{c}_extrapolate{k}") + F.col(f"{c}_doppler_offset") for k in (1, 2) for c in ("lat", "lon")}
     return e.withColumns({"label": bins.vessel_label(F.col("best_class")), "scale": F.greatest(F.coalesce("scale1", F.lit(0.0)), F.coalesce("scale2", F.lit(0.0))), **adj})

@@ -8,7 +8,7 @@ input.
 
 Candidates are pairs of passages, of a document every few words and of the items at every word or second word, whose cosine in that
 space reaches least_cosine. They come through an index: the items' passages are clustered there (spherical k-means), and
-a document's passage is held against those of the `probes` nearest clusters. Pairs are checked at once in the
+a document's passage is held against those of the nearest cluster and of all whose centres' cosine is at most `margin` less. Pairs are checked at once in the
 same task; no candidate list is written, and there is no cap on candidates. The index is the one approximate step: a
 pair is missed if no passage of the stretch finds its counterpart's cluster. README states the recall.
 
@@ -237,18 +237,13 @@ class ItemIndex:
         np.add.at(out, (np.repeat(np.arange(len(size)), size), self.words.all[_places(self.first, size)] % MARKS), 1)
         return out
 
-    def near(self, z: np.ndarray, of_items: np.ndarray, probes: int, least: float, held: tuple | None = None):
-        """(row of z, passage, cosine) of the pairs that reach the cosine, among the passages of each row's nearest clusters.
+    def near(self, z: np.ndarray, of_items: np.ndarray, margin: float, least: float, held: tuple | None = None):
+        """(row of z, passage, cosine) of the pairs that reach the cosine, among the passages of each row's nearest cluster and of those whose centres are at most `margin` less close.
 
         held: (marks of the rows' words as 0 or 1, marks() of the passages, words each passage needs): a bound on the words in common.
         """
-        probes = min(probes, len(self.centre))
-        cos = z @ self.centre.T
-        top = np.argpartition(cos, -probes, axis=1)[:, -probes:] if probes < cos.shape[1] else np.broadcast_to(np.arange(probes), cos.shape)
-        of = top.ravel()
-        row = np.repeat(np.arange(len(z)), probes)
-        order = np.argsort(of, kind="stable")
-        of, row = of[order], row[order]
+        cos = self.centre @ z.T
+        of, row = np.nonzero(cos >= cos.max(axis=0) - margin)
         head = np.flatnonzero(np.concatenate([[True], np.diff(of) > 0])) if len(of) else of
         for a, b in zip(head, np.append(head[1:], len(of))):
             low, high = self.bounds[of[a]], self.bounds[of[a] + 1]
@@ -290,17 +285,17 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 18, stride: int = 4, rank: int = 64, least_cosine: float = 0.8, probes: int = 8, fit: int = 32) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = 25, exchanged: float = 0.1, window: int = 18, stride: int = 4, rank: int = 64, least_cosine: float = 0.8, margin: float = 0.2, fit: int = 32) -> DataFrame:
     """(doc, item, words, first_word, cosine): documents that hold a stretch of an item. docs: doc, text; items: item, text."""
-    return _search(docs, items, _Verbatim(min_words, exchanged, window), window, stride, rank, least_cosine, probes, fit)
+    return _search(docs, items, _Verbatim(min_words, exchanged, window), window, stride, rank, least_cosine, margin, fit)
 
 
-def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 8, rank: int = 64, least_cosine: float = 0.65, probes: int = 8, fit: int = 32, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
+def paraphrases(docs: DataFrame, items: DataFrame, window: int = 32, stride: int = 8, rank: int = 64, least_cosine: float = 0.65, margin: float = 0.2, fit: int = 32, least_common: float = 0.7, least_answer: float = 0.5) -> DataFrame:
     """(doc, item, common, answers, cosine): documents with a passage close to one of an item; common is the share of its words in the longest common subsequence, answers that of its words with digits."""
-    return _search(docs, items, _Reworded(least_common, least_answer, stride), window, stride, rank, least_cosine, probes, fit)
+    return _search(docs, items, _Reworded(least_common, least_answer, stride), window, stride, rank, least_cosine, margin, fit)
 
 
-def _search(docs, items, check, window, stride, rank, least_cosine, probes, fit):
+def _search(docs, items, check, window, stride, rank, least_cosine, margin, fit):
     spark = docs.sparkSession
     docs = coded(docs)
     idf = inverse_frequency(docs)
@@ -312,7 +307,7 @@ def _search(docs, items, check, window, stride, rank, least_cosine, probes, fit)
 
     def search():
         kept_index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in block], [r[1] for r in block], table, window, check.item_stride, check.short))
-        return docs.mapInArrow(lambda it: _candidates(it, sent.value, kept_index.value, window, stride, least_cosine, probes, check, schema), schema)
+        return docs.mapInArrow(lambda it: _candidates(it, sent.value, kept_index.value, window, stride, least_cosine, margin, check, schema), schema)
 
     for row in items.where("item is not null and text is not null").select("item", "text").toLocalIterator():
         block.append(row)
@@ -325,7 +320,7 @@ def _search(docs, items, check, window, stride, rank, least_cosine, probes, fit)
     return out
 
 
-def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine, probes, check, schema):
+def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine, margin, check, schema):
     names = [c.split()[0] for c in schema.split(", ")]
     if not len(index.z):
         return
@@ -339,7 +334,7 @@ def _candidates(batches, table, index: ItemIndex, window, stride, least_cosine,
             end = max(at + 1, int(np.searchsorted(first, first[at] + SPAN)))
             z = latent(words.all, first[at:end], behind[at:end], table)
             held = bound and (check.marked(words, text[at:end], first[at:end], behind[at:end]), *bound)
-            for row, passage, cosine in index.near(z, z_items, probes, least_cosine, held):
+            for row, passage, cosine in index.near(z, z_items, margin, least_cosine, held):
                 kept = check.keep(words, first[at:end][row], behind[at:end][row], text[at:end][row], index, passage)
                 if len(kept[0]):
                     pick = kept[0]

@@ -73,7 +73,7 @@ def _hub(spark: SparkSession, d: str) -> DataFrame:
     return H.hub_table(D.det(spark, d), D.overpass(spark, d), D.infra(spark, d), D.ambiguity(spark, d))
 
 
-def _classified(spark: SparkSession, d: str) -> DataFrame:
+def classified(spark: SparkSession, d: str) -> DataFrame:
     return H.classify(_hub(spark, d), D.vessel(spark, d), D.pred(spark, d))
 
 
@@ -88,7 +88,7 @@ def _density(df: DataFrame, *by) -> DataFrame:
 @query(ALL + f"select iso3, {', '.join(f'round({n}, 6) as {n}' for n in FIELD_NAMES)} from (select iso3, {_fields_sql()} from cls group by 1)")
 def a3_density_by_country(spark: SparkSession, d: str) -> DataFrame:
     """Share of activity by country; the flagship of the hub."""
-    return _rounded(_density(_classified(spark, d), "iso3"), FIELD_NAMES)
+    return _rounded(_density(classified(spark, d), "iso3"), FIELD_NAMES)
 
 
 @query(D.with_sql(D.DET, QUALITY) + "select scene_id, scene_detections, round(scene_quality, 6) as scene_quality from qual")
@@ -129,12 +129,12 @@ def sel_p5_free_of_mess(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ALL + "select detect_id, matched_category, round(fishing, 6) as fishing, round(fishing_low, 6) as fishing_low, round(fishing_high, 6) as fishing_high from cls")
 def d18_classified_detections(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_classified(spark, d), ["fishing", "fishing_low", "fishing_high"]).select("detect_id", "matched_category", "fishing", "fishing_low", "fishing_high")
+    return _rounded(classified(spark, d), ["fishing", "fishing_low", "fishing_high"]).select("detect_id", "matched_category", "fishing", "fishing_low", "fishing_high")
 
 
 @query(ALL + "select detect_id, lat, lon, ssvid, cast(extract(year from ts) as integer) as year, matched_category, round(fishing, 6) as fishing, length_m, overpasses, round(score, 12) as score, iso3 from cls")
 def d61_classified_export(spark: SparkSession, d: str) -> DataFrame:
-    return _classified(spark, d).select("detect_id", "lat", "lon", "ssvid", F.year("ts").alias("year"), "matched_category", F.round("fishing", 6).alias("fishing"), "length_m", "overpasses", F.round("score", 12).alias("score"), "iso3")
+    return classified(spark, d).select("detect_id", "lat", "lon", "ssvid", F.year("ts").alias("year"), "matched_category", F.round("fishing", 6).alias("fishing"), "length_m", "overpasses", F.round("score", 12).alias("score"), "iso3")
 
 
 @query(D.with_sql(D.DET, D.PRED) + "select detect_id, round(avg(fishing_33), 6) as fishing_low, round(avg(fishing_50), 6) as fishing, round(avg(fishing_66), 6) as fishing_high from pred group by 1")
@@ -165,7 +165,7 @@ FOUR = ["ais_fishing", "ais_nonfishing", "dark_fishing", "dark_nonfishing"]
 @query(ALL + f"""select lat_bin, lon_bin, {', '.join(f'round({n}, 6) as {n}' for n in FOUR)} from (select lat_bin, lon_bin, {_TOTALS} from (
   select cast(floor(lat * 5) as bigint) as lat_bin, cast(floor(lon * 5) as bigint) as lon_bin, {_fields_sql()} from cls group by 1, 2))""")
 def d19_activity_raster(spark: SparkSession, d: str) -> DataFrame:
-    x = _classified(spark, d).withColumns({"lat_bin": F.floor(F.col("lat") * 5).cast("bigint"), "lon_bin": F.floor(F.col("lon") * 5).cast("bigint")})
+    x = classified(spark, d).withColumns({"lat_bin": F.floor(F.col("lat") * 5).cast("bigint"), "lon_bin": F.floor(F.col("lon") * 5).cast("bigint")})
     return _rounded(_totals(_density(x, "lat_bin", "lon_bin"), "lat_bin", "lon_bin"), FOUR)
 
 
@@ -173,7 +173,7 @@ def d19_activity_raster(spark: SparkSession, d: str) -> DataFrame:
   select iso3, unmatched_fishing + unmatched_nonfishing as dark, unmatched_fishing_low as dark_low, unmatched_fishing_high as dark_high,
          unmatched_fishing + unmatched_nonfishing + matched_fishing + matched_nonfishing + matched_unknown as total from (select iso3, {_fields_sql()} from cls group by 1))""")
 def d20_activity_by_country(spark: SparkSession, d: str) -> DataFrame:
-    x = _density(_classified(spark, d), "iso3")
+    x = _density(classified(spark, d), "iso3")
     dark = F.col("unmatched_fishing") + F.col("unmatched_nonfishing")
     x = x.select("iso3", dark.alias("dark"), F.col("unmatched_fishing_low").alias("dark_low"), F.col("unmatched_fishing_high").alias("dark_high"), (dark + F.col("matched_fishing") + F.col("matched_nonfishing") + F.col("matched_unknown")).alias("total"))
     return _rounded(x.withColumn("percent_dark", safe_div(F.col("dark") * 100, F.col("total"))), ["dark", "dark_low", "dark_high", "total"]).withColumn("percent_dark", F.round("percent_dark", 4))
@@ -186,7 +186,7 @@ def d20_activity_by_country(spark: SparkSession, d: str) -> DataFrame:
       select cast(floor(lat * 2) as bigint) as lat_bin, cast(floor(lon * 2) as bigint) as lon_bin, {_fields_sql()} from cls group by 1, 2) where detections is not null))""")
 def d21_concentration(spark: SparkSession, d: str) -> DataFrame:
     """Cells by falling density with running totals: the area that holds a quarter, half and all of the activity. Cells are few (a grid), so one ordered window is bounded."""
-    x = _classified(spark, d).withColumns({"lat_bin": F.floor(F.col("lat") * 2).cast("bigint"), "lon_bin": F.floor(F.col("lon") * 2).cast("bigint")})
+    x = classified(spark, d).withColumns({"lat_bin": F.floor(F.col("lat") * 2).cast("bigint"), "lon_bin": F.floor(F.col("lon") * 2).cast("bigint")})
     g = _density(x, "lat_bin", "lon_bin").where("detections is not null").select("lat_bin", "lon_bin", F.round("detections", 9).alias("v"), cell_area_km2(F.col("lat_bin") / 2.0, 2).alias("area"))
     w = Window.orderBy(F.desc("v"), "lat_bin", "lon_bin").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumns({"cum": F.sum("v").over(w), "cum_area": F.sum("area").over(w), "total": F.sum("v").over(Window.partitionBy())})
@@ -196,7 +196,7 @@ def d21_concentration(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ALL + "select inside, count(*) as detections, count(*) filter (matched_category = 'unmatched') as dark, round(100.0 * count(*) filter (matched_category = 'unmatched') / count(*), 4) as percent_dark from (select *, (lat between -11 and 31 and lon between -101 and -19) as inside from cls where matched_category is not null) group by 1")
 def d60_extent_share(spark: SparkSession, d: str) -> DataFrame:
-    x = _classified(spark, d).where("matched_category is not null").withColumn("inside", boxes.within_extent(F.col("lon"), F.col("lat"), (-100.0, -10.0, -20.0, 30.0), 1.0))
+    x = classified(spark, d).where("matched_category is not null").withColumn("inside", boxes.within_extent(F.col("lon"), F.col("lat"), (-100.0, -10.0, -20.0, 30.0), 1.0))
     dark = F.count_if(F.col("matched_category") == "unmatched")
     return x.groupBy("inside").agg(F.count(F.lit(1)).alias("detections"), dark.alias("dark"), F.round(dark * 100.0 / F.count(F.lit(1)), 4).alias("percent_dark"))
 
@@ -207,14 +207,14 @@ def d60_extent_share(spark: SparkSession, d: str) -> DataFrame:
   from (select *, (cast(floor(length_m * 10) as bigint) * 7919 % 1000) / 1000.0::double as u from cls)""")
 def f28_dithered_category(spark: SparkSession, d: str) -> DataFrame:
     u = (F.floor(F.col("length_m") * 10).cast("bigint") * 7919 % 1000) / 1000.0
-    return _classified(spark, d).select("detect_id", bins.dithered_category(F.col("matched_category"), F.col("fishing"), u).alias("dithered"))
+    return classified(spark, d).select("detect_id", bins.dithered_category(F.col("matched_category"), F.col("fishing"), u).alias("dithered"))
 
 
 @query(ALL + """select dist_bin, label, n, round(share, 6) as share from (
   select dist_bin, label, n, avg(n) over (partition by label order by dist_bin rows between 1 preceding and 1 following) / sum(n) over (partition by label) as share, count(*) over (partition by label order by dist_bin rows between 1 preceding and 1 following) as k
   from (select cast(floor(abs(lat) / 5) as bigint) as dist_bin, matched_category as label, count(*) as n from cls where matched_category is not null group by 1, 2)) where k = 3""")
 def d59_binned_share(spark: SparkSession, d: str) -> DataFrame:
-    x = _classified(spark, d).where("matched_category is not null").groupBy(F.floor(F.abs("lat") / 5).cast("bigint").alias("dist_bin"), F.col("matched_category").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    x = classified(spark, d).where("matched_category is not null").groupBy(F.floor(F.abs("lat") / 5).cast("bigint").alias("dist_bin"), F.col("matched_category").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("label").orderBy("dist_bin").rowsBetween(-1, 1)
     x = x.withColumns({"share": F.avg("n").over(w) / F.sum("n").over(Window.partitionBy("label")), "k": F.count("n").over(w)})
     return x.where("k = 3").select("dist_bin", "label", "n", F.round("share", 6).alias("share"))
@@ -248,7 +248,7 @@ def d23_zone_statistics(spark: SparkSession, d: str) -> DataFrame:
     area = o.groupBy("iso3").agg(F.sum("km2").alias("area"), *[(F.sum(F.when(F.col(c) < v, F.col("km2")).otherwise(0.0)) / F.sum("km2")).alias(f"area_{n}") for n, (c, v) in _PARTS.items()])
     w = safe_div(F.lit(1), F.col("overpasses"))
     split = {"west": F.col("lon") < 127, "east": F.col("lon") >= 127, **{n: F.col(c) < v for n, (c, v) in _PARTS.items()}}
-    act = _classified(spark, d).groupBy("iso3").agg(F.sum(w).alias("detections"), *[F.sum(F.when(c, w)).alias(n) for n, c in split.items()])
+    act = classified(spark, d).groupBy("iso3").agg(F.sum(w).alias("detections"), *[F.sum(F.when(c, w)).alias(n) for n, c in split.items()])
     rounded = [F.round(f"area_{n}", 6).alias(f"area_{n}") for n in _PARTS] + [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("detections", *split)]
     return area.join(act, "iso3", "full").select("iso3", F.round("area", 4).alias("area"), *rounded)
 

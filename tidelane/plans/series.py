@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelane.functions import bins
 from tidelane.operators import series as S
+from tidelane.operators.hub import CATEGORIES
 from tidelane.plans import domain as D
+from tidelane.plans.hub import ALL, classified
 from tidelane.plans.registry import registry
 from tidelane.runtime import read_table
 
@@ -100,23 +102,36 @@ def d25_gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
     return x.select("lat_bin", "lon_bin", "period", F.round("density_i", 6).alias("density_i"))
 
 
-@query(D.with_sql(D.DET) + """select rolling_date, coalesce(a.iso3, '') as iso3, round(coalesce(n, 0) / 24.0::double, 6) as per_day, round(coalesce(m, 0.0) / 24.0::double, 6) as long_per_day, (make_date(cast(extract(year from rolling_date) as bigint), 1, 13) - rolling_date) % 24 = 0 as window_start
-  from (select rolling_date, iso3, count(*) as n from (select iso3, cast(unnest(generate_series(day - 11, day + 12, interval 1 day)) as date) as rolling_date from det where day is not null) group by all) a
-  full join (select rolling_date, iso3, count(*) as m from (select iso3, cast(unnest(generate_series(day - 11, day + 12, interval 1 day)) as date) as rolling_date from det where day is not null and length_m > 100) group by all) b using (rolling_date, iso3)""")
+def _rolling_sql(back: int, ahead: int, where: str) -> str:
+    """Rows of cls as one for each day of their window, as SQL text."""
+    return f"(select *, cast(unnest(generate_series(day - {back}, day + {ahead}, interval 1 day)) as date) as rolling_date from cls where day is not null and {where})"
+
+
+PARTS = (*CATEGORIES, "unmatched")
+
+
+@query(ALL + f"""select rolling_date, coalesce(a.iso3, '') as iso3, {', '.join(f'round(coalesce({c}, 0) / 24.0::double, 6) as {c}' for c in PARTS)}, round(coalesce(dark_fishing, 0) / 24.0::double, 6) as dark_fishing, round(coalesce(m, 0.0) / 24.0::double, 6) as long_per_day,
+  (make_date(cast(extract(year from rolling_date) as bigint), 1, 13) - rolling_date) % 24 = 0 as window_start
+  from (select rolling_date, iso3, {', '.join(f"count(*) filter (matched_category = '{c}') as {c}" for c in PARTS)}, sum(fishing) filter (matched_category = 'unmatched') as dark_fishing from {_rolling_sql(11, 12, 'true')} group by all) a
+  full join (select rolling_date, iso3, count(*) as m from {_rolling_sql(11, 12, 'length_m > 100')} group by all) b using (rolling_date, iso3)""")
 def d26_rolling_series(spark: SparkSession, d: str) -> DataFrame:
-    """24-day rolling means by country of all and of long detections, joined fully (J25), with the starts of windows that don't overlap."""
-    det = D.det(spark, d).where("day is not null")
-    a = S.rolling_expand(det.select("iso3", "day"), "day", 11, 12).groupBy("rolling_date", "iso3").agg(F.count(F.lit(1)).alias("n"))
-    b = S.rolling_expand(det.where("length_m > 100").select("iso3", "day"), "day", 11, 12).groupBy("rolling_date", "iso3").agg(F.count(F.lit(1)).alias("m"))
-    x = a.join(b, ["rolling_date", "iso3"], "full")
-    return x.select("rolling_date", "iso3", F.round(F.coalesce("n", F.lit(0)) / 24.0, 6).alias("per_day"), F.round(F.coalesce("m", F.lit(0)) / 24.0, 6).alias("long_per_day"), bins.reset_window(F.col("rolling_date")).alias("window_start"))
+    """24-day rolling means by country and category, of the dark fishing share and of long detections, joined fully (J25), with the starts of windows that don't overlap."""
+    x = classified(spark, d).where("day is not null")
+    count = [F.count_if(F.col("matched_category") == c).alias(c) for c in PARTS]
+    a = S.rolling_expand(x.select("iso3", "day", "matched_category", "fishing"), "day", 11, 12).groupBy("rolling_date", "iso3").agg(*count, F.sum(F.when(F.col("matched_category") == "unmatched", F.col("fishing"))).alias("dark_fishing"))
+    b = S.rolling_expand(x.where("length_m > 100").select("iso3", "day"), "day", 11, 12).groupBy("rolling_date", "iso3").agg(F.count(F.lit(1)).alias("m"))
+    each = lambda c, name: F.round(F.coalesce(c, F.lit(0)) / 24.0, 6).alias(name)
+    return a.join(b, ["rolling_date", "iso3"], "full").select("rolling_date", "iso3", *[each(F.col(c), c) for c in (*PARTS, "dark_fishing")], each(F.col("m"), "long_per_day"), bins.reset_window(F.col("rolling_date")).alias("window_start"))
 
 
-@query(D.with_sql(D.DET) + "select rolling_date, count(*) as n from (select cast(unnest(generate_series(day - 12, day + 11, interval 1 day)) as date) as rolling_date from det where iso3 = 'E22' and lon < 127 and day is not null) group by 1")
+@query(ALL + f"""select rolling_date, {', '.join(f"count(*) filter (matched_category = '{c}') as {c}" for c in PARTS)}, round(coalesce(sum(fishing) filter (matched_category = 'unmatched'), 0), 6) as dark_fishing
+  from {_rolling_sql(12, 11, "iso3 = 'E22' and lon < 127 and years_with_overpass >= 2")} group by 1""")
 def d64_western_series(spark: SparkSession, d: str) -> DataFrame:
-    """The rolling series of one zone west of a meridian, event side."""
-    x = D.det(spark, d).where("iso3 = 'E22' and lon < 127 and day is not null")
-    return S.rolling_expand(x.select("day"), "day", 12, 11).groupBy("rolling_date").agg(F.count(F.lit(1)).alias("n"))
+    """The rolling series of one zone west of a meridian by category, in cells imaged in two years or more, event side."""
+    x = classified(spark, d).where("iso3 = 'E22' and lon < 127 and years_with_overpass >= 2 and day is not null").select("day", "matched_category", "fishing")
+    count = [F.count_if(F.col("matched_category") == c).alias(c) for c in PARTS]
+    dark = F.sum(F.when(F.col("matched_category") == "unmatched", F.col("fishing")))
+    return S.rolling_expand(x, "day", 12, 11).groupBy("rolling_date").agg(*count, F.round(F.coalesce(dark, F.lit(0.0)), 6).alias("dark_fishing"))
 
 
 DAILY = "dly as (select cast(l_shipdate as date) as day, l_returnflag as flag, count(*) as n, sum(l_quantity) as q from lineitem group by all)"

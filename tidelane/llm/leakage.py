@@ -43,8 +43,8 @@ FEATURES = 1 << 15
 #: Features to a row of the matrices that tasks send, and columns beyond the rank in the search for the range.
 ROWS, OVER = 512, 8
 BLOCK = 2_000
-#: Numbers that words are marked by, to bound how many two passages have in common.
-MARKS = 128
+#: Numbers that words are marked by, to bound how many two passages have in common: for all pairs, and for those left.
+MARKS, FINE = 128, 1024
 #: Words handled at once.
 SPAN = 60_000
 _CUT = re.compile(r"[\W_]+")
@@ -211,7 +211,7 @@ class ItemIndex:
         kept: dict[str, int] = {}
         self.ids = ids
         self.words = Words([word_codes(t, kept) for t in texts])
-        self.answer = np.array(sorted(code for raw, code in kept.items() if code and any(c.isdigit() for c in raw)), np.uint32)
+        self.answers = frozenset(code for raw, code in kept.items() if code and any(c.isdigit() for c in raw))
         self.item, self.first, self.behind = self.words.passages(window, stride, short)
         z = latent(self.words.all, self.first, self.behind, table)
         # as many clusters as cost a search the same as the passages of a few of them
@@ -412,20 +412,25 @@ class _Reworded:
         return out
 
     def keep(self, words: Words, first, behind, text, index: ItemIndex, passage):
-        """Places of the pairs that qualify, their common share and share of answers. Words held bound the subsequence before it is computed."""
+        """Places of the pairs that qualify, their common share and share of answers. Words held bound the subsequence before it is computed: by finer marks, then exactly."""
         out, common, answers = [], [], []
         low, high = self._around(words, text, first, behind)
-        for k, p in enumerate(passage.tolist()):
-            mine, theirs = words.all[low[k] : high[k]].tolist(), index.words.all[index.first[p] : index.behind[p]]
-            have = set(mine)
-            here = np.array([x in have for x in theirs.tolist()])
-            if here.sum() < self.least_common * len(theirs):
+        head, of = np.unique(low, return_index=True, return_inverse=True)[1:]
+        seen = np.zeros((len(head), FINE), bool)
+        seen[np.repeat(np.arange(len(head)), (high - low)[head]), words.all[_places(low[head], (high - low)[head])] % FINE] = True
+        size = index.behind[passage] - index.first[passage]
+        owner = np.repeat(np.arange(len(passage)), size)
+        held = np.bincount(owner, seen[of[owner], index.words.all[_places(index.first[passage], size)] % FINE], len(passage))
+        for k in np.flatnonzero(held >= self.least_common * size).tolist():
+            mine, theirs = words.all[low[k] : high[k]], index.words.all[index.first[passage[k]] : index.behind[passage[k]]]
+            have, said = set(mine.tolist()), theirs.tolist()
+            if sum(x in have for x in said) < self.least_common * len(said):
                 continue
-            known = np.isin(theirs, index.answer)
-            share = float(here[known].mean()) if known.any() else 1.0
+            asked = [x for x in said if x in index.answers]
+            share = sum(x in have for x in asked) / len(asked) if asked else 1.0
             if share < self.least_answer:
                 continue
-            c = common_subsequence(theirs, np.array(mine)) / len(theirs)
+            c = common_subsequence(theirs, mine) / len(said)
             if c >= self.least_common:
                 out.append(k)
                 common.append(c)

@@ -167,6 +167,24 @@ def hav_sql(a: str, b: str, radius: str = "6371000.0") -> str:
     )
 
 
+def held_sql(points: str, point: str) -> str:
+    """CTEs of oil_areas' rings and edges, and held (point, area_id): which area holds which row (lat, lon) of the points, by even-odd over each part's edges."""
+    ring, rings = r"\([^()]+\)", r"\([^()]+\)(,\([^()]+\))*"
+    return rf"""wk as (select distinct area_id, regexp_replace(regexp_replace(regexp_replace(trim(geometry), '^(?i)(?:SRID *= *[0-9]+ *; *)?(MULTIPOLYGON|POLYGON) *(?:ZM|Z|M)? *\(', '\1('), '\s+', ' ', 'g'), ' ?([(),]) ?', '\1', 'g') as g from oil_areas where geometry is not null and area_id is not null),
+pt as (select area_id, g, generate_subscripts(parts, 1) as part, unnest(parts) as body from (select *, regexp_extract_all(g, '\(({ring}(?:,{ring})*)\)', 1) as parts from wk
+  where regexp_full_match(g, '(?i)POLYGON\({rings}\)') or regexp_full_match(g, '(?i)MULTIPOLYGON\(\({rings}\)(,\({rings}\))*\)'))),
+xy as (select *, list_transform(pts, lambda p: try_cast(string_split(p, ' ')[1] as double)) as xs, list_transform(pts, lambda p: try_cast(string_split(p, ' ')[2] as double)) as ys
+  from (select area_id, g, part, string_split(unnest(regexp_extract_all(body, '\(([^()]+)\)', 1)), ',') as pts from pt)),
+bad as (select area_id, g from xy where len(xs) < 4 or list_count(xs) < len(pts) or list_count(ys) < len(pts) or xs[1] <> xs[-1] or ys[1] <> ys[-1] or list_max(ys) > 90 or list_min(ys) < -90),
+ed as (select area_id, g, part, xs[i] as x1, ys[i] as y1, xs[i + 1] as x2, ys[i + 1] as y2 from (select *, unnest(range(1, len(xs))) as i from xy where (area_id, g) not in (select (area_id, g) from bad))),
+bx as (select area_id, g, part, min(least(x1, x2)) as x0, max(greatest(x1, x2)) as x9, min(least(y1, y2)) as y0, max(greatest(y1, y2)) as y9 from ed group by all),
+held as (select distinct point, area_id from (
+  select p.{point} as point, e.area_id, e.g, e.part, k from {points} p, (values (-360.0::double), (0.0::double), (360.0::double)) as s(k), bx b, ed e
+  where p.lat between b.y0 and b.y9 and p.lon + k between b.x0 and b.x9 and e.area_id = b.area_id and e.g = b.g and e.part = b.part and (e.y1 > p.lat) <> (e.y2 > p.lat)
+    and p.lon + k < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1
+  group by all having count(*) % 2 = 1))"""
+
+
 def with_sql(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 

@@ -219,7 +219,10 @@ def _inside(spark: SparkSession, d: str) -> DataFrame:
     return areas_holding(D.infra(spark, d), read_table(spark, d, "oil_areas"), "id", "lat", "lon", "area_id", "geometry")
 
 
-@query()
+HELD = D.held_sql("infra", "id")
+
+
+@query(D.with_sql(D.INFRA_SQL, HELD) + "select point as id, cast(area_id as varchar) as area_id from held")
 def j9_structures_in_areas(spark: SparkSession, d: str) -> DataFrame:
     return _inside(spark, d).select(F.col("point").cast("bigint").alias("id"), F.col("area").alias("area_id"))
 
@@ -232,7 +235,7 @@ def d38_ambiguity_with_areas(spark: SparkSession, d: str) -> DataFrame:
     return x.join(held, "id", "left").withColumn("areas", F.coalesce("areas", F.array().cast("array<string>")))
 
 
-@query()
+@query(D.with_sql(D.INFRA_SQL, HELD) + f"select case when id in (select point from held) then 'inside' else 'outside' end as place, {LABEL} as label, count(*) as n from infra group by all")
 def u2_inside_and_outside(spark: SparkSession, d: str) -> DataFrame:
     """Counts of structures in and out of areas by label."""
     held = _inside(spark, d).select(F.col("point").cast("bigint").alias("id")).distinct().withColumn("where", F.lit("inside"))

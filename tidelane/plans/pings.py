@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelane.operators.polygons import areas_holding
 from tidelane.operators.proximity import near_pairs, positions
 from tidelane.operators.trips import stops_and_trips
+from tidelane.plans import domain as D
 from tidelane.runtime import read_table
 
 
@@ -45,6 +46,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_trips, p3_found, p3_near, p3_inside)}
 
+#: The latest version of each detection, as positions() takes it.
+_LATEST = """det as (
+  select detect_id, lat, lon from (
+    select detect_id, detect_lat as lat, detect_lon - 360.0 * floor((detect_lon + 180.0) / 360.0) as lon,
+           row_number() over (partition by detect_id order by loaded_at desc, detect_lat, detect_lon) as k
+    from detect_scene_match
+    where detect_id is not null and abs(detect_lat) <= 90 and detect_lon >= -180 and detect_lon <= 360) where k = 1)"""
+
 #: The neighbourhood pairs once more, in the oracle through a coarser band that both rows of a pair must share.
 SQL = {
     "p3_near": """
@@ -59,4 +68,6 @@ select p.detect_id as id_a, q.detect_id as id_b
 from p join q on p.band = q.band and p.detect_id < q.detect_id
 where 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((p.la - q.la) / 2), 2) + cos(p.la) * cos(q.la) * pow(sin((p.lo - q.lo) / 2), 2)))) < 100
 """,
+    "p3_inside": D.with_sql(_LATEST, D.held_sql("det", "detect_id")) + "select point as detect_id, cast(area_id as varchar) as area_id from held",
 }
+SQL["p3_found"] = f"select 'near' as relation, id_a as key_a, id_b as key_b from ({SQL['p3_near']}) union all select 'inside', detect_id, area_id from ({SQL['p3_inside']})"

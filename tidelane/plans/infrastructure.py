@@ -137,7 +137,10 @@ def d39_averaged_labels(spark: SparkSession, d: str) -> DataFrame:
     return g.select("lat_bin", "lon_bin", C.top_label(*CLASSES).alias("label"))
 
 
-@query(D.with_sql(D.INFRA_SQL) + """select id, coalesce(len(by_angle) > 1 and len(list_filter(by_angle, lambda a: a.overpasses > 5 and a.detections::double / a.overpasses > 0.9)) > 0 and len(list_filter(by_angle, lambda a: a.overpasses > 5 and a.detections::double / a.overpasses < 0.1)) > 0, false) as possible_ambiguity, coalesce(len(by_angle), 0) as angles from infra""")
+AMBIGUOUS = "coalesce(len(by_angle) > 1 and len(list_filter(by_angle, lambda a: a.overpasses > 5 and a.detections::double / a.overpasses > 0.9)) > 0 and len(list_filter(by_angle, lambda a: a.overpasses > 5 and a.detections::double / a.overpasses < 0.1)) > 0, false)"
+
+
+@query(D.with_sql(D.INFRA_SQL) + f"select id, {AMBIGUOUS} as possible_ambiguity, coalesce(len(by_angle), 0) as angles from infra")
 def ar6_ambiguity(spark: SparkSession, d: str) -> DataFrame:
     return D.infra(spark, d).select("id", C.ambiguous("by_angle").alias("possible_ambiguity"), F.coalesce(F.when(F.col("by_angle").isNotNull(), F.size("by_angle")), F.lit(0)).cast("bigint").alias("angles"))
 
@@ -227,12 +230,12 @@ def j9_structures_in_areas(spark: SparkSession, d: str) -> DataFrame:
     return _inside(spark, d).select(F.col("point").cast("bigint").alias("id"), F.col("area").alias("area_id"))
 
 
-@query()
+@query(D.with_sql(D.INFRA_SQL, HELD) + f"select id, iso3, {AMBIGUOUS} as possible_ambiguity, coalesce(areas, '') as areas from infra left join (select point as id, string_agg(cast(area_id as varchar), ',' order by cast(area_id as varchar)) as areas from held group by 1) using (id)")
 def d38_ambiguity_with_areas(spark: SparkSession, d: str) -> DataFrame:
-    """Ambiguous structures with the sorted list of areas that hold them."""
-    held = _inside(spark, d).groupBy(F.col("point").cast("bigint").alias("id")).agg(F.sort_array(F.collect_list("area")).alias("areas"))
+    """Ambiguous structures with the areas that hold them, in order."""
+    held = _inside(spark, d).groupBy(F.col("point").cast("bigint").alias("id")).agg(F.concat_ws(",", F.sort_array(F.collect_list("area"))).alias("areas"))
     x = D.infra(spark, d).select("id", "iso3", C.ambiguous("by_angle").alias("possible_ambiguity"))
-    return x.join(held, "id", "left").withColumn("areas", F.coalesce("areas", F.array().cast("array<string>")))
+    return x.join(held, "id", "left").withColumn("areas", F.coalesce("areas", F.lit("")))
 
 
 @query(D.with_sql(D.INFRA_SQL, HELD) + f"select case when id in (select point from held) then 'inside' else 'outside' end as place, {LABEL} as label, count(*) as n from infra group by all")

@@ -169,3 +169,12 @@ def test_unfinished_components_raise(spark):
     with pytest.raises(RuntimeError):
         C.labelled(edges, max_rounds=1)
     assert {r.label for r in C.labelled(edges).collect()} == {"000"}
+
+
+def test_components_with_hot_vertices(spark, monkeypatch):
+    """Stars and chains, with every vertex of some neighbours treated as hot."""
+    monkeypatch.setattr("tidelane.operators.clusters.HOT_ROWS", 3)
+    monkeypatch.setattr("tidelane.operators.clusters.HOT_SHARE", 0.0)
+    edges = [("hub", f"s{k:02}") for k in range(25)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(20)] + [("s03", "z")]
+    got = {r.id: r.label for r in C.labelled(spark.createDataFrame(edges, "id_a string, id_b string")).collect()}
+    assert got == {v: ("c00" if v[0] == "c" else "hub") for e in edges for v in e}

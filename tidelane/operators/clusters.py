@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions.compat import month_diff
 from tidelane.operators.proximity import distance_join, near_pairs
-from tidelane.runtime import discard, written
+from tidelane.runtime import HOT_ROWS, HOT_SHARE, discard, salted_join, written
 
 
 def labelled(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,14 +18,20 @@ def labelled(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     left, path = written(edges.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a < b").distinct(), "edges")
-    steps: list[DataFrame] = []
+    steps: list[tuple[DataFrame, DataFrame | None]] = []
+    used: list[str] = []
     for r in range(max_rounds):
         order = lambda c: F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         ends = left.union(left.select("b", "a"))
-        first = ends.groupBy(F.col("a").alias("id")).agg(F.min(order("b")).alias("n"))
-        step, _ = written(first.select("id", F.least(order("id"), F.col("n"))["v"].alias("to")), "step")
-        steps.append(step)
-        moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        first = ends.groupBy(F.col("a").alias("id")).agg(F.min(order("b")).alias("n"), F.count(F.lit(1)).alias("degree"))
+        step, step_path = written(first.select("id", F.least(order("id"), F.col("n"))["v"].alias("to"), "degree"), "step")
+        used.append(step_path)
+        # no more vertices join a vertex than it has neighbours, so these are hot here and on the way back
+        hot = _hot(step, "id", "degree", left.count())
+        to = step.select("id", "to")
+        steps.append((to, hot))
+        half = salted_join(left, to.toDF("a", "x"), ["a"], F.col("b"), hot=hot and hot.toDF("a", "__salts"))
+        moved = salted_join(half, to.toDF("b", "y"), ["b"], F.col("x"), hot=hot and hot.toDF("b", "__salts")).where("x <> y")
         new, new_path = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         discard(spark, path)
         left, path = new, new_path
@@ -33,12 +39,22 @@ def labelled(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"edges are left after {max_rounds} rounds")
-    discard(spark, path)
-    end = steps[-1]
-    for step in steps[-2::-1]:
-        end = step.join(end.toDF("to", "top"), "to", "left").select("id", F.coalesce("top", "to").alias("to"))
-    low = end.groupBy("to").agg(F.min("id").alias("low"))
-    return end.join(low, "to").select("id", F.least("low", "to").alias("label"))
+    end = steps[-1][0]
+    for step, hot in steps[-2::-1]:
+        end = salted_join(step, end.toDF("to", "top"), ["to"], F.col("id"), "left", hot and hot.toDF("to", "__salts")).select("id", F.coalesce("top", "to").alias("to"))
+    end, end_path = written(end, "members")
+    low, low_path = written(end.groupBy("to").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "lowest")
+    hot = _hot(low, "to", "n", end.count())
+    result, _ = written(salted_join(end, low.select("to", "low"), ["to"], F.col("id"), hot=hot).select("id", F.least("low", "to").alias("label")), "labels")
+    discard(spark, path, *used, end_path, low_path)
+    return result
+
+
+def _hot(counts: DataFrame, key: str, n: str, whole: int) -> DataFrame | None:
+    """(key, __salts) of the keys with many of `whole` rows, for salted_join()."""
+    floor = max(HOT_ROWS, int(HOT_SHARE * whole))
+    few = counts.where(F.col(n) > floor).select(key, F.ceil(F.col(n) / floor).cast("int").alias("__salts"))
+    return None if few.isEmpty() else few
 
 
 def dbscan(points: DataFrame, eps_m: float, min_pts: int = 1) -> DataFrame:

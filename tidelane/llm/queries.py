@@ -14,7 +14,7 @@ from tidelane.llm.leakage import leaks, paraphrases
 from tidelane.llm.mixing import mixture, shares, token_counts
 from tidelane.llm.quantiles import percentiles, summaries
 from tidelane.llm.spans import shared_spans
-from tidelane.llm.survivors import claims_of, judged_values, survivors
+from tidelane.llm.survivors import claims_of, judged_values, newest_filled
 from tidelane.llm.topn import top_n
 from tidelane.runtime import hot_keys, read_table, salted_join, written
 
@@ -41,9 +41,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 NO_SPEED, NO_COURSE = 102.3, 360.0
 
 
-def _extrapolation_claims(spark: SparkSession, d: str, by_source: bool) -> tuple[DataFrame, DataFrame]:
-    """Claims of the groups of equal ssvid and scene_id, and source if by_source; a witness is a source's rows of one lateness class."""
-    df = read_table(spark, d, "detect_foot_ext_doppler")
+def _extrapolation_columns() -> tuple[dict[str, Column], dict[str, Column]]:
+    """(keys, fields): ssvid, scene_id and source without blanks and letter case; what counts as filled."""
 
     def filled(name: str) -> Column:
         c = F.col(name)
@@ -55,24 +54,23 @@ def _extrapolation_claims(spark: SparkSession, d: str, by_source: bool) -> tuple
         return F.when(known, c)
 
     keys = {"ssvid": F.nullif(F.trim("ssvid"), F.lit("")), "scene_id": F.nullif(F.upper(F.trim("scene_id")), F.lit("")), "source": F.nullif(F.upper(F.trim("source")), F.lit(""))}
-    if not by_source:
-        del keys["source"]
-    late = F.log2(1 + F.greatest(F.lit(0.0), (F.unix_micros("loaded_at") - F.unix_micros("extrap_timestamp")) / 3.6e9))
-    witness = F.concat_ws("/", F.upper(F.trim("source")), F.coalesce(F.least(F.floor(late), F.lit(10)).cast("string"), F.lit("-")))
-    fields = {f: filled(f) for f in ("delta_minutes1", "speed1", "course1", "delta_minutes2", "speed2", "course2")}
-    return claims_of(df, keys, "ext_id", "loaded_at", witness, fields)
+    return keys, {f: filled(f) for f in ("delta_minutes1", "speed1", "course1", "delta_minutes2", "speed2", "course2")}
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The rule asks for the newest filled value, so recency outweighs the witnesses' evidence."""
-    claims, groups = _extrapolation_claims(spark, d, True)
-    values, _ = judged_values(claims, newest_bonus=100.0)
-    return survivors(values).join(groups, "gid").select("ssvid", "scene_id", "source", F.col("field").alias("field_name"), F.col("row_id").alias("ext_id"))
+    """The rule asks for the newest filled value, so nothing is estimated; p4_trusted is what the model decides."""
+    keys, fields = _extrapolation_columns()
+    newest = newest_filled(read_table(spark, d, "detect_foot_ext_doppler"), keys, "ext_id", "loaded_at", fields)
+    return newest.select(*keys, F.col("field").alias("field_name"), F.col("row_id").alias("ext_id"))
 
 
 def p4_trusted(spark: SparkSession, d: str) -> DataFrame:
-    """For each ssvid and scene_id, every value judged true on the evidence of the sources that claim or deny it."""
-    claims, groups = _extrapolation_claims(spark, d, False)
+    """For each ssvid and scene_id, every value judged true on the evidence of the sources that claim or deny it; a witness is a source's rows of one lateness class."""
+    keys, fields = _extrapolation_columns()
+    del keys["source"]
+    late = F.log2(1 + F.greatest(F.lit(0.0), (F.unix_micros("loaded_at") - F.unix_micros("extrap_timestamp")) / 3.6e9))
+    witness = F.concat_ws("/", F.upper(F.trim("source")), F.coalesce(F.least(F.floor(late), F.lit(10)).cast("string"), F.lit("-")))
+    claims, groups = claims_of(read_table(spark, d, "detect_foot_ext_doppler"), keys, "ext_id", "loaded_at", witness, fields)
     values, _ = judged_values(claims)
     return values.where("p >= 0.5").join(groups, "gid").select("ssvid", "scene_id", F.col("field").alias("field_name"), "value", F.col("row_id").alias("ext_id"))
 

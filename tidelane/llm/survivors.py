@@ -8,11 +8,12 @@ probability that each value is true; fields may keep every value judged true.
 Only the pattern of a value matters (rows and claims by witness), so values are counted by pattern once, and the
 iterations, which end when no rate moves any more, run over the patterns: on the driver while those are few, else as joins of the patterns'
 witnesses with the rates. `newest_bonus` adds log-odds to the value of the newest row that fills a field. The
-witnesses' evidence is clipped to +-EVIDENCE, so a bonus above twice that makes recency decide, as a "latest filled
-value wins" rule asks, while the other values still rank by trust.
+witnesses' evidence is clipped to +-EVIDENCE, so a bonus above twice that makes recency decide, while the other values
+still rank by trust. Where only the newest row is asked for, no estimate can matter: `newest_filled` gives it without.
 
-All steps are aggregations by (group, field, value), which combine before the shuffle, and one join that salts hot
-groups; a group with a third of all rows is never gathered.
+All steps of the model are aggregations by (group, field, value), which combine before the shuffle, and one join that
+salts hot groups; `newest_filled` is one aggregation by group, likewise combined before. A group with a third of all
+rows is never gathered.
 
 Defined results: rows with a null key are in no group; a null field isn't filled; a field that no row fills is absent;
 ties in time go to the smaller row id; rows without a time count as oldest; groups of one row give no result; empty
@@ -38,6 +39,15 @@ START, LEAST, MOST = 0.8, 0.01, 0.99
 MOST_ROUNDS = 5_000
 
 
+def newest_filled(df: DataFrame, keys: dict[str, Column], row_id: str, at: str, fields: dict[str, Column]) -> DataFrame:
+    """(keys, field, row_id): for each group with two or more rows and each field, the newest row that fills it."""
+    rows = df.select(*[c.alias(k) for k, c in keys.items()], F.col(row_id).cast("bigint").alias("row_id"), F.col(at).alias("at"), *[c.alias(f"f_{k}") for k, c in fields.items()]).dropna(subset=[*keys, "row_id"])
+    order = F.struct("at", F.bitwise_not("row_id").alias("back"))  # unlike a minus sign, defined for every bigint
+    newest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col(f"f_{k}").isNotNull(), order)).alias(f"f_{k}") for k in fields]).where("n > 1")
+    best = F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.bitwise_not(F.col(f"f_{k}.back")).alias("row_id")) for k in fields]))
+    return newest.select(*keys, best).where("row_id is not null")
+
+
 def claims_of(df: DataFrame, keys: dict[str, Column], row_id: str, at: str, witness: Column, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(claims, groups) of the groups with two or more rows. claims: gid, field, value, w, row_id, at; groups: gid and the keys.
 
